@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-K = F.col("k")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -25,12 +22,16 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _k() -> Column:
+    return F.col("k")
+
+
 def _ts() -> Column:
-    return F.col("day") + _seconds(K % 86400)
+    return F.col("day") + _seconds(_k() % 86400)
 
 
 def _base_cents() -> Column:
-    return (F.floor(F.col("o_totalprice") / 100) * 100 + K % 100).cast("bigint")
+    return (F.floor(F.col("o_totalprice") / 100) * 100 + _k() % 100).cast("bigint")
 
 
 def _money(cents: Column) -> Column:
@@ -42,46 +43,38 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
     base = (
         _orders(spark, sf_dir)
-        .join(parts, F.col("p_partkey") == K % 200)
+        .join(parts, F.col("p_partkey") == _k() % 200)
         .select(
             "k", "name", _ts().alias("txn_date"),
-            _money(_base_cents() * F.when(K % 97 == 0, 20).otherwise(1)).alias("amount"),
-            F.when(K % 11 == 0, "credit").otherwise("debit").alias("direction"),
+            _money(_base_cents() * F.when(_k() % 97 == 0, 20).otherwise(1)).alias("amount"),
+            F.when(_k() % 11 == 0, "credit").otherwise("debit").alias("direction"),
         )
     )
     name = F.col("name")
     counterparty = (
-        F.when((F.col("direction") == "credit") & (K % 2 == 0), F.concat(F.lit("Refund from "), name))
+        F.when((F.col("direction") == "credit") & (_k() % 2 == 0), F.concat(F.lit("Refund from "), name))
         .when(F.col("direction") == "credit", F.concat(F.lit("Received from "), name))
-        .when(K % 5 == 0, F.concat(F.lit("Payment to "), name, F.lit(" Pvt Ltd")))
-        .when(K % 5 == 1, F.concat(name, F.lit("@ybl")))
-        .when(K % 5 == 2, F.concat(F.lit("Paid to "), name, F.lit(" "), (10000 + K % 90000).cast("string")))
-        .when(K % 5 == 3, F.upper(name))
+        .when(_k() % 5 == 0, F.concat(F.lit("Payment to "), name, F.lit(" Pvt Ltd")))
+        .when(_k() % 5 == 1, F.concat(name, F.lit("@ybl")))
+        .when(_k() % 5 == 2, F.concat(F.lit("Paid to "), name, F.lit(" "), (10000 + _k() % 90000).cast("string")))
+        .when(_k() % 5 == 3, F.upper(name))
         .otherwise(F.concat(F.lit("Paid to "), name))
     )
-    base = base.select(
-        F.lit("orders").alias("source_file"), "k", (K * 4).alias("row_no"), "txn_date", "amount",
-        "direction", counterparty.alias("counterparty_raw"),
-        F.when(K % 4 != 0, F.concat(F.lit("UTR"), K.cast("string"))).alias("reference_id"),
-    )
-    # each order emits itself, a copy and a transfer credit where its number says so
-    none = F.lit(None).cast("string")
-    as_is = F.struct("row_no", "txn_date", "direction", "counterparty_raw", "reference_id")
-    copy = F.struct((F.col("row_no") + 1).alias("row_no"), "txn_date", "direction",
-                    "counterparty_raw", "reference_id")
-    transfer = F.struct(
-        (F.col("row_no") + 2).alias("row_no"),
-        (F.col("txn_date") + _seconds(F.lit(7200))).alias("txn_date"),
-        F.lit("credit").alias("direction"),
-        F.lit("Received from Self Account").alias("counterparty_raw"), none.alias("reference_id"))
-    emitted = F.filter(F.array(
-        as_is,
-        F.when(K % 50 == 0, copy),
-        F.when((K % 40 == 7) & (K % 11 != 0), transfer),
-    ), lambda e: e.isNotNull())
-    orders = base.select("source_file", "amount", F.explode(emitted).alias("e")).select(
-        "source_file", "e.row_no", "e.txn_date", "amount", "e.direction", "e.counterparty_raw",
-        "e.reference_id")
+    # each order emits itself (0), and a copy (1) and a transfer credit (2) where due
+    emitted = F.explode(F.filter(F.array(
+        F.lit(0),
+        F.when(_k() % 50 == 0, 1),
+        F.when((_k() % 40 == 7) & (_k() % 11 != 0), 2),
+    ), lambda e: e.isNotNull()))
+    e = F.col("e")
+    transfer = e == 2
+    orders = base.withColumn("e", emitted).select(
+        F.lit("orders").alias("source_file"), (_k() * 4 + e).alias("row_no"),
+        (F.col("txn_date") + _seconds(F.when(transfer, 7200).otherwise(0))).alias("txn_date"),
+        "amount", F.when(transfer, "credit").otherwise(F.col("direction")).alias("direction"),
+        F.when(transfer, "Received from Self Account").otherwise(counterparty).alias("counterparty_raw"),
+        F.when(~transfer & (_k() % 4 != 0), F.concat(F.lit("UTR"), _k().cast("string")))
+        .alias("reference_id"))
 
     c, i = F.col("c_custkey"), F.col("i")
     subs = (
@@ -110,40 +103,40 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = _ts()
     number = F.format_number(_base_cents() / F.lit(100.0), 2)
     date = (
-        F.when(K % 8 == 0, F.date_format(ts, "MMM dd, yyyy"))
-        .when(K % 8 == 1, F.date_format(ts, "dd MMM yyyy"))
-        .when(K % 8 == 2, F.date_format(ts, "dd-MM-yyyy"))
-        .when(K % 8 == 3, F.date_format(ts, "yyyy-MM-dd"))
-        .when(K % 8 == 4, F.date_format(ts, "dd/MM/yyyy"))
-        .when(K % 8 == 5, F.date_format(ts, "dd MMMM yyyy"))
-        .when(K % 8 == 6, F.date_format(ts, "MMMM dd, yyyy"))
+        F.when(_k() % 8 == 0, F.date_format(ts, "MMM dd, yyyy"))
+        .when(_k() % 8 == 1, F.date_format(ts, "dd MMM yyyy"))
+        .when(_k() % 8 == 2, F.date_format(ts, "dd-MM-yyyy"))
+        .when(_k() % 8 == 3, F.date_format(ts, "yyyy-MM-dd"))
+        .when(_k() % 8 == 4, F.date_format(ts, "dd/MM/yyyy"))
+        .when(_k() % 8 == 5, F.date_format(ts, "dd MMMM yyyy"))
+        .when(_k() % 8 == 6, F.date_format(ts, "MMMM dd, yyyy"))
         .otherwise("not a date")
     )
     time = (
-        F.when(K % 3 == 0, F.date_format(ts, "hh:mm a"))
-        .when(K % 3 == 1, F.date_format(ts, "HH:mm:ss"))
+        F.when(_k() % 3 == 0, F.date_format(ts, "hh:mm a"))
+        .when(_k() % 3 == 1, F.date_format(ts, "HH:mm:ss"))
     )
     amount = (
-        F.when(K % 30 == 5, "")
-        .when(K % 6 == 0, F.concat(F.lit("₹"), number))
-        .when(K % 6 == 1, F.concat(F.lit("Rs. "), number))
-        .when(K % 6 == 2, F.concat(F.lit("INR "), number))
-        .when(K % 6 == 3, F.concat(F.lit("-"), number))
-        .when(K % 6 == 4, number)
+        F.when(_k() % 30 == 5, "")
+        .when(_k() % 6 == 0, F.concat(F.lit("₹"), number))
+        .when(_k() % 6 == 1, F.concat(F.lit("Rs. "), number))
+        .when(_k() % 6 == 2, F.concat(F.lit("INR "), number))
+        .when(_k() % 6 == 3, F.concat(F.lit("-"), number))
+        .when(_k() % 6 == 4, number)
         .otherwise(F.concat(F.lit("+"), number))
     )
     kind = (
-        F.when(K % 5 == 0, "DEBIT").when(K % 5 == 1, "Cr").when(K % 5 == 2, " paid ")
-        .when(K % 5 == 3, "").otherwise("unknown")
+        F.when(_k() % 5 == 0, "DEBIT").when(_k() % 5 == 1, "Cr").when(_k() % 5 == 2, " paid ")
+        .when(_k() % 5 == 3, "").otherwise("unknown")
     )
     return _orders(spark, sf_dir).select(
-        F.concat(F.lit("statement-"), (K % 7).cast("string")).alias("source_file"),
-        F.lit(0).cast("bigint").alias("part_no"), K.alias("row_no"),
+        F.concat(F.lit("statement-"), (_k() % 7).cast("string")).alias("source_file"),
+        F.lit(0).cast("bigint").alias("part_no"), _k().alias("row_no"),
         date.alias("date_str"), time.alias("time_str"),
-        F.concat(F.lit("Shop "), (K % 40).cast("string")).alias("details_str"),
+        F.concat(F.lit("Shop "), (_k() % 40).cast("string")).alias("details_str"),
         kind.alias("type_str"), amount.alias("amount_str"),
-        F.when(K % 4 != 0, F.concat(F.lit("UTR"), K.cast("string"))).otherwise("").alias("reference_str"),
-        F.concat(F.lit("row="), K.cast("string")).alias("raw_line"),
+        F.when(_k() % 4 != 0, F.concat(F.lit("UTR"), _k().cast("string"))).otherwise("").alias("reference_str"),
+        F.concat(F.lit("row="), _k().cast("string")).alias("raw_line"),
         F.lit("statement").alias("source_app"),
     )
 
@@ -151,16 +144,16 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.format_number(_base_cents() / F.lit(100.0), 2)
     amount = (
-        F.when(K % 9 == 0, "no amount")
-        .when(K % 2 == 0, F.concat(F.lit("INR "), number))
+        F.when(_k() % 9 == 0, "no amount")
+        .when(_k() % 2 == 0, F.concat(F.lit("INR "), number))
         .otherwise(F.concat(F.lit("₹"), number))
     )
     line = F.concat(
         F.date_format(_ts(), "MMM dd, yyyy"), F.lit(" "),
-        F.when(K % 4 == 0, "Received from").otherwise("Paid to"),
-        F.lit(" Shop "), (K % 40).cast("string"), F.lit(" "), amount)
+        F.when(_k() % 4 == 0, "Received from").otherwise("Paid to"),
+        F.lit(" Shop "), (_k() % 40).cast("string"), F.lit(" "), amount)
     return _orders(spark, sf_dir).select(
-        F.lit("pages").alias("source_file"), F.floor(K / 10).alias("part_no"), "k",
+        F.lit("pages").alias("source_file"), F.floor(_k() / 10).alias("part_no"), "k",
         line.alias("line"))
 
 

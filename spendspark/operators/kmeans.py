@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
@@ -21,27 +22,43 @@ class Fit:
     centers: tuple[tuple[float, ...], ...]
 
 
-def fit_kmeans(
-    scaled: DataFrame, columns: Sequence[str], k: int, n_init: int = 5, seed: int = 42,
-    max_iter: int = 300,
-) -> Fit:
-    """Lowest-cost fit of ``n_init`` seeds.
+def fit_many(
+    scaled: DataFrame, columns: Sequence[str], ks: Sequence[int], n_init: int = 5,
+    seed: int = 42, max_iter: int = 300, parallel: int = 4,
+) -> dict[int, Fit]:
+    """Per k the lowest-cost fit of ``n_init`` seeds, over one cached set of vectors.
 
-    Centers come back sorted, so cluster numbers do not depend on seed or partitioning.
+    Fits are independent jobs, so a few run at a time. Centers come back sorted, so
+    cluster numbers do not depend on seed or partitioning.
     """
     vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(
         scaled.select(*columns)).select("features").persist()
-    best = None
-    for i in range(n_init):
+    vectors.count()
+
+    def fit(task: tuple[int, int]) -> Fit:
+        k, i = task
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(vectors)
-        cost = model.summary.trainingCost
-        if best is None or cost < best.cost:
-            centers = sorted(tuple(float(v) for v in c) for c in model.clusterCenters())
-            best = Fit(k, float(cost), tuple(centers))
+        centers = sorted(tuple(float(v) for v in c) for c in model.clusterCenters())
+        return Fit(k, float(model.summary.trainingCost), tuple(centers))
+
+    tasks = [(k, i) for k in ks for i in range(n_init)]
+    with ThreadPoolExecutor(parallel) as pool:
+        fits = list(pool.map(fit, tasks))
     vectors.unpersist()
+    best: dict[int, Fit] = {}
+    for (k, _), f in zip(tasks, fits):
+        if k not in best or f.cost < best[k].cost:
+            best[k] = f
     return best
 
 
+def fit_kmeans(
+    scaled: DataFrame, columns: Sequence[str], k: int, n_init: int = 5, seed: int = 42,
+    max_iter: int = 300,
+) -> Fit:
+    return fit_many(scaled, columns, [k], n_init, seed, max_iter)[k]
+
+
 def nearest_columns(columns: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
     """struct(d2, cluster) of the nearest center; the lower number wins a tie."""
     return F.array_min(F.array(*[
@@ -84,8 +101,7 @@ def sweep_k(
     wins a tie; labelings with a single used cluster score -1.
     """
     top = min(k_max, max(2, scaled.count() - 1))
-    fits = {k: fit_kmeans(scaled, columns, k, n_init, seed, max_iter)
-            for k in range(k_min, top + 1)}
+    fits = fit_many(scaled, columns, range(k_min, top + 1), n_init, seed, max_iter)
     labelled = scaled.select(*columns)
     for k, fit in fits.items():
         labelled = assign_columns(labelled, columns, fit.centers, f"k{k}", None)

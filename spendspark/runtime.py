@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_MAX_ROWS = 1_000_000
@@ -49,3 +49,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     kept = df.persist()
     small = kept.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(kept) if small else kept
+
+
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters and projections read instead of repeating.
+
+    Spark moves a filter below the projection that made its columns and then evaluates
+    their expressions twice. It does not move one below a generator, here of one row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(
+        *[c.alias(name) for name, c in columns.items()]))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.dates import parse_statement_ts
 from ..functions.money import infer_direction, parse_amount
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, compute_once
 
 # one cell after its comma: quoted (with doubled quotes inside) or bare
 CELL = r',("(?:[^"]|"")*"[^,]*|[^,]*)'
@@ -208,7 +208,7 @@ def parse_fields(fields: DataFrame) -> DataFrame:
     def text(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(""))
 
-    typed = fields.withColumns({
+    typed = compute_once(fields, {
         "txn_date": parse_statement_ts(text("date_str"), F.nullif(text("time_str"), F.lit(""))),
         "amount": parse_amount(text("amount_str")),
         "direction": infer_direction(F.col("type_str"), text("amount_str")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.dates import any_of, parse_text_date
 from ..functions.text import text_counterparty
+from ..runtime import compute_once
 
 ANCHOR = f"(?mdU)^({fv.TEXT_DATE})"
 
@@ -44,7 +45,7 @@ def extract_fields(records: DataFrame, text: str = "chunk") -> DataFrame:
     date_text = F.regexp_extract(t, ANCHOR, 1)
     amount_text = _amount_text(t)
     found = (date_text != "") & (amount_text != "")
-    out = records.withColumns({
+    out = compute_once(records, {
         "txn_date": parse_text_date(date_text),
         "amount": F.abs(F.replace(amount_text, F.lit(","), F.lit("")).try_cast("decimal(14,2)")),
         "direction": direction_of(t),
