@@ -266,7 +266,8 @@ RUNS = SPEND + [
 INSIGHT_ROWS = SPEND + [
     f"""ir AS (
   SELECT id, txn_date, amount, counterparty_normalized AS m, {HASH} % 4 AS cluster_index,
-    'Group ' || chr(CAST(65 + {HASH} % 4 AS INTEGER)) AS label, amount >= 20000 AS is_anomaly,
+    'Group ' || chr(CAST(65 + {HASH} % 4 AS INTEGER)) AS label,
+    amount >= 20000 OR amount % 50 = 0 AS is_anomaly,
     strftime(txn_date, '%Y-%m') AS month
   FROM spend)""",
     "mt AS (SELECT cluster_index, label, month, sum(amount) AS total FROM ir GROUP BY 1, 2, 3)",
@@ -481,20 +482,22 @@ EVENTS = ["""ev AS (
   SELECT event_id AS id, ts AS txn_date, CAST(value AS DECIMAL(14,2)) AS amount, user_id AS merchant
   FROM events)"""]
 
-_d2 = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in CLUSTERING)
+_d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in CLUSTERING)
 
 
 def noise_ctes(share: float) -> list[str]:
     norm = " + ".join(f"power({c}, 2)" for c in CLUSTERING)
     return SCALED + [
         f"eps AS (SELECT quantile_cont(sqrt({norm}), 0.9) / {share} AS eps FROM scaled)",
-        f"""close AS (
-  SELECT a.transaction_id AS a, b.transaction_id AS b
-  FROM scaled a, scaled b, eps WHERE sqrt({_d2}) <= eps)""",
-        "core AS (SELECT a FROM close GROUP BY a HAVING count(*) >= 4)",
-        """noise AS (
-  SELECT transaction_id FROM scaled WHERE transaction_id NOT IN (
-    SELECT close.a FROM close JOIN core ON core.a = close.b))""",
+        f"""core AS MATERIALIZED (
+  SELECT a.transaction_id FROM scaled a, scaled b, eps WHERE {_d2} <= eps * eps
+  GROUP BY 1 HAVING count(*) >= 4)""",
+        f"""noise AS (
+  SELECT transaction_id FROM scaled a
+  WHERE transaction_id NOT IN (SELECT transaction_id FROM core) AND transaction_id NOT IN (
+    SELECT a.transaction_id FROM scaled a, scaled b, eps
+    WHERE {_d2} <= eps * eps AND b.transaction_id IN (SELECT transaction_id FROM core)
+      AND a.transaction_id NOT IN (SELECT transaction_id FROM core)))""",
     ]
 
 

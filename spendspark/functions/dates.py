@@ -10,37 +10,27 @@ from pyspark.sql import functions as F
 from . import fixed_values as fv
 
 
-def _blanks(text: Column) -> Column:
+def blanks(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def _try_patterns(text: Column, time_pattern: str | None) -> Column:
-    """The date shape picks the patterns, so a row never tries all of them."""
+def parse_date(text: Column, with_time: bool = False) -> Column:
+    """Timestamp of a date text, which ``with_time`` may end in a time of day.
+
+    The date shape picks the patterns, so a row never tries all of them. Blanks must be
+    single ones.
+    """
+    ending = fv.TIME_SHAPES if with_time else ""
     out = None
     for shape, patterns in fv.DATE_SHAPES:
-        full = [p if time_pattern is None else f"{p} {time_pattern}" for p in patterns]
-        parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in full])
+        parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(p + ending)) for p in patterns])
         fits = text.rlike(shape)
         out = F.when(fits, parsed) if out is None else out.when(fits, parsed)
     return out
 
 
-def parse_statement_ts(date: Column, time: Column | None = None) -> Column:
-    """Date with optional time; an unreadable time is dropped and leaves midnight."""
-    day = _blanks(date)
-    if time is None:
-        return _try_patterns(day, None)
-    both = _blanks(F.concat_ws(" ", date, time))
-    with_time = (
-        F.when(both.rlike(r"(?i)[ap]m$"), _try_patterns(both, fv.TIME_12H))
-        .when(both.rlike(r":\d{1,2}$"), _try_patterns(both, fv.TIME_24H))
-        .otherwise(_try_patterns(both, None))
-    )
-    return F.coalesce(with_time, _try_patterns(day, None))
-
-
 def parse_text_date(text: Column) -> Column:
-    plain = _blanks(F.regexp_replace(text, ",", ""))
+    plain = blanks(F.regexp_replace(text, ",", ""))
     return F.try_to_timestamp(plain, F.lit(fv.TEXT_DATE_PATTERN))
 
 

@@ -18,16 +18,15 @@ HEADER_ALIASES = {
 REQUIRED_FIELDS = ["date", "amount"]
 SNIFF_WORDS = ["date", "amount", "transaction"]
 
-# date shapes: (regex of the text, Spark patterns in order of preference)
+# date shapes: (regex of the text, Spark patterns in order of preference); a time may follow
 DATE_SHAPES = [
-    (r"^[A-Za-z]", ["MMM d, yyyy", "MMMM d, yyyy"]),
-    (r"^\d{1,2} [A-Za-z]", ["d MMM yyyy", "d MMMM yyyy"]),
+    (r"^[A-Za-z]", ["[MMMM][MMM] d, yyyy"]),
+    (r"^\d{1,2} [A-Za-z]", ["d [MMMM][MMM] yyyy"]),
     (r"^\d{4}-", ["yyyy-M-d"]),
     (r"^\d{1,2}-", ["d-M-yyyy"]),
     (r"^\d{1,2}/", ["d/M/yyyy", "M/d/yyyy"]),
 ]
-TIME_12H = "h:m a"
-TIME_24H = "H:m:s"
+TIME_SHAPES = "[ h:m a][ H:m:s]"
 
 DEBIT_WORDS = ["debit", "dr", "debited", "paid", "sent", "-"]
 CREDIT_WORDS = ["credit", "cr", "credited", "received", "+"]

@@ -18,13 +18,14 @@ def any_word(words: list[str]) -> str:
 def mask_handles(text: Column) -> Column:
     """``name@bank`` -> ``nam***@bank`` (short names vanish), at every occurrence.
 
-    Handles are first fenced with control characters, so that the second and third
+    Texts without an ``@`` are left alone at once. Handles are first fenced with control characters, so that the second and third
     pass cannot touch text which the first one did not take as a handle.
     """
     h = fv.HANDLE_CHAR
-    fenced = F.regexp_replace(text, f"({h}{{2,}})(@[a-zA-Z]+)", "\u0001$1\u0002$2")
+    fenced = F.regexp_replace(text, f"({h}{{2,}}+)(@[a-zA-Z]+)", "\u0001$1\u0002$2")
     long_cut = F.regexp_replace(fenced, f"\u0001({h}{{3}}){h}+\u0002", "$1***")
-    return F.regexp_replace(long_cut, f"\u0001{h}{{2,3}}\u0002", "***")
+    masked = F.regexp_replace(long_cut, f"\u0001{h}{{2,3}}\u0002", "***")
+    return F.when(text.contains("@"), masked).otherwise(text)
 
 
 def hash_reference(reference: Column) -> Column:

@@ -70,7 +70,11 @@ def spend_over_time(runs, transactions, assignments, clusters, run_id: str | Non
 
 
 def zero_fill(totals: DataFrame) -> DataFrame:
-    """Every cluster in every month: each month carries the list of clusters."""
+    """Every cluster in every month: each month carries the list of clusters.
+
+    ``totals`` holds months times clusters, a small table that is read three times.
+    """
+    totals = totals.persist()
     by_label = totals.groupBy("label", "cluster_index").agg(F.lit(1).alias("_one"))
     series = by_label.groupBy("_one").agg(
         F.collect_list(F.struct("cluster_index", "label")).alias("_all"))

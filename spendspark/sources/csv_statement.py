@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.dates import parse_statement_ts
+from ..functions.dates import blanks, parse_date
 from ..functions.money import infer_direction, parse_amount
 from ..runtime import broadcast_if_small, compute_once
 
@@ -29,9 +29,14 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*") -> D
     return place_lines(lines)
 
 
+def same_path(path: Column) -> Column:
+    """Scans and listings write the root of a local path differently."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
 def place_lines(lines: DataFrame) -> DataFrame:
     return lines.select(
-        F.col("_metadata.file_path").alias("source_file"),
+        same_path(F.col("_metadata.file_path")).alias("source_file"),
         F.col("_metadata.file_block_start").alias("part_no"),
         F.monotonically_increasing_id().alias("row_no"),
         F.regexp_replace("value", "^﻿", "").alias("line"),
@@ -167,14 +172,16 @@ def map_header(headers: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
-    """Names and sizes only: file contents are not read."""
-    return (
+    """All file names, empty files too: the listing that planning a scan makes anyway."""
+    names = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(path)
-        .select(F.col("_metadata.file_path").alias("source_file"), "length")
+        .inputFiles()
     )
+    return spark.createDataFrame([(n,) for n in names], "source_file string").select(
+        same_path(F.col("source_file")).alias("source_file"))
 
 
 def name_fields(records: DataFrame, headers: DataFrame, source_app: str = "statement") -> DataFrame:
@@ -208,11 +215,19 @@ def parse_fields(fields: DataFrame) -> DataFrame:
     def text(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(""))
 
-    typed = compute_once(fields, {
-        "txn_date": parse_statement_ts(text("date_str"), F.nullif(text("time_str"), F.lit(""))),
+    time = F.nullif(text("time_str"), F.lit(""))
+    texts = compute_once(fields, {
+        "_day": blanks(text("date_str")),
+        "_both": F.when(time.isNotNull(), blanks(F.concat_ws(" ", text("date_str"), time))),
+    })
+    typed = compute_once(texts, {
+        "_ts": parse_date(F.col("_both"), with_time=True),
         "amount": parse_amount(text("amount_str")),
         "direction": infer_direction(F.col("type_str"), text("amount_str")),
     })
+    # without a readable time the day alone stands, at midnight
+    day = F.when(F.col("_ts").isNull(), parse_date(F.col("_day")))
+    typed = compute_once(typed, {"txn_date": F.coalesce("_ts", day)})
     reasons = F.concat_ws(
         ", ",
         F.when(F.col("txn_date").isNull(), fv.REASON_DATE),
