@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import token_set_score, words_of
-from ..runtime import broadcast_if_small, durable
+from ..runtime import broadcast_if_small, compute_once, durable
 
 KEYS_PER_PAIR = 2
 
@@ -50,20 +50,20 @@ def name_keys(ranked: DataFrame, threshold: float) -> DataFrame:
     numbered = F.transform("pairs", lambda x, i: F.concat(
         F.lit("g"), x, F.size(F.filter(F.slice("pairs", 1, i + 1), lambda y: y == x)).cast("string")))
     parts = (
-        ranked.select("rank", words.alias("words"))
-        .withColumn("pairs", pairs)
+        compute_once(compute_once(ranked.select("rank", "name"), {"words": words}), {"pairs": pairs})
         .select("rank", F.explode(F.concat(
             F.transform("words", lambda w: F.concat(F.lit("w"), w)), numbered)).alias("part"))
     )
     counts = parts.groupBy("part").agg(F.count("*").alias("f"))
     rarest_first = parts.join(counts, "part").groupBy("rank").agg(
         F.array_sort(F.collect_list(F.struct("f", "part"))).alias("parts"))
-    sided = ranked.join(rarest_first, "rank").withColumns({
+    sided = compute_once(ranked.join(rarest_first, "rank"), {
         "_words": F.transform(F.filter("parts", lambda p: p["part"].startswith("w")),
                               lambda p: p["part"].substr(F.lit(2), F.length(p["part"]))),
         "_pairs": F.transform(F.filter("parts", lambda p: p["part"].startswith("g")),
                               lambda p: p["part"]),
-    }).withColumn("_length", F.length(F.array_join("_words", " ")))
+    })
+    sided = compute_once(sided, {"_length": F.length(F.array_join("_words", " "))})
     # (a) words of one side only may fill at most `spare` characters
     spare = (c * (2 * F.col("_length") - 1) - 1) / (1 + c)
     cover = F.filter("_words", lambda w, i: (i == 0) | (
@@ -71,14 +71,15 @@ def name_keys(ranked: DataFrame, threshold: float) -> DataFrame:
         <= spare + 1e-9))
     # (b) at most `lost` character pairs differ, so the rarest lost + 2 hold two in common
     lost = F.floor(4 * c * F.col("_length") / (1 + c) + 1e-9).cast("int")
-    sided = sided.withColumns({"_cover": cover, "_rare": F.slice("_pairs", 1, lost + KEYS_PER_PAIR)})
+    sided = compute_once(
+        sided, {"_cover": cover, "_rare": F.slice("_pairs", 1, lost + KEYS_PER_PAIR)})
     twos = F.flatten(F.transform("_rare", lambda x, i: F.transform(
         F.slice("_rare", i + 2, F.size("_rare")), lambda y: F.xxhash64(F.lit("g"), x, y))))
 
     def tagged(column: str, tag: str):
         return F.transform(column, lambda w: F.xxhash64(F.lit(tag), w))
 
-    return sided.withColumn("_twos", twos).select(
+    return compute_once(sided, {"_twos": twos}).select(
         "rank", "name",
         F.concat(tagged("_cover", "1"), tagged("_words", "2"), "_twos").alias("lkeys"),
         F.concat(tagged("_words", "1"), tagged("_cover", "2"), "_twos").alias("rkeys"),
