@@ -26,7 +26,7 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*") -> D
         .option("pathGlobFilter", glob)
         .text(path)
     )
-    return place_lines(lines)
+    return number_lines(with_split(lines))
 
 
 def same_path(path: Column) -> Column:
@@ -34,15 +34,21 @@ def same_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:///")
 
 
-def place_lines(lines: DataFrame) -> DataFrame:
+def with_split(lines: DataFrame) -> DataFrame:
+    """Lines with the file and the byte offset of the split they were read from."""
     return lines.select(
         same_path(F.col("_metadata.file_path")).alias("source_file"),
         F.col("_metadata.file_block_start").alias("part_no"),
-        F.monotonically_increasing_id().alias("row_no"),
-        F.regexp_replace("value", "^﻿", "").alias("line"),
+        F.regexp_replace("value", "^\ufeff", "").alias("line"),
     )
 
 
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Add ``row_no``; it grows along each split, so it must come before any shuffle."""
+    return lines.select(
+        "source_file", "part_no", F.monotonically_increasing_id().alias("row_no"), "line")
+
+
 def join_broken_records(lines: DataFrame) -> DataFrame:
     """Put records together that contain quoted line breaks.
 
@@ -133,7 +139,8 @@ def records_of_lines(lines: DataFrame, quoted_breaks: bool | None = None) -> Dat
                 join_broken_records(lines.join(broken, "source_file", "left_semi")))
     else:
         records = join_broken_records(lines) if quoted_breaks else lines
-    return records.select("source_file", "part_no", "row_no", split_cells(F.col("line")).alias("cells"))
+    return records.select(
+        "source_file", "part_no", "row_no", "line", split_cells(F.col("line")).alias("cells"))
 
 
 def _key(cell: Column) -> Column:
@@ -144,8 +151,10 @@ def find_headers(records: DataFrame) -> DataFrame:
     """First row of each file that names a date and an amount."""
     keys = F.transform("cells", _key)
     is_header = F.array_contains(keys, "date") & F.exists(keys, lambda k: k.contains("amount"))
+    text = F.lower("line")
     return (
-        records.filter(is_header)
+        # two substring tests spare nearly all data rows the splitting into cells
+        records.filter(text.contains("date") & text.contains("amount")).filter(is_header)
         .groupBy("source_file")
         .agg(F.min(F.struct("part_no", "row_no", "cells")).alias("h"))
         .select(

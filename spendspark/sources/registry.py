@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.dates import any_of
-from .csv_statement import list_files, place_lines
+from .csv_statement import list_files, read_lines
 
 
 @dataclass(frozen=True)
@@ -32,8 +32,7 @@ ADAPTERS = [CSV, PDF]
 
 def first_lines(spark: SparkSession, path: str | list[str], glob: str = "*.[cC][sS][vV]") -> DataFrame:
     """First line of each file; only the split at byte 0 of a file is looked at."""
-    lines = place_lines(
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path))
+    lines = read_lines(spark, path, glob)
     return (
         lines.filter("part_no = 0")
         .groupBy("source_file")

@@ -12,8 +12,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..plans.ingest import ingest_rows
 from ..plans.store import LedgerStore
 from ..sources.csv_statement import (
-    bad_rows, file_failures, find_headers, good_rows, name_fields, parse_fields, place_lines,
-    records_of_lines,
+    bad_rows, file_failures, find_headers, good_rows, name_fields, number_lines,
+    parse_fields, records_of_lines, with_split,
 )
 
 
@@ -24,7 +24,7 @@ def statement_lines(spark: SparkSession, path: str, glob: str = "*.csv", max_fil
         .option("maxFilesPerTrigger", max_files)
         .load(path)
     )
-    return place_lines(lines)
+    return with_split(lines)
 
 
 def ingest_stream(
@@ -34,7 +34,7 @@ def ingest_stream(
     """Start a run over all files that are new since the last one (``availableNow``)."""
 
     def store_batch(lines: DataFrame, batch_id: int) -> None:
-        lines = lines.persist()
+        lines = number_lines(lines).persist()
         records = records_of_lines(lines)
         headers = find_headers(records).persist()
         parsed = parse_fields(name_fields(records, headers, source_app)).persist()

@@ -1,0 +1,185 @@
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+from decimal import Decimal
+
+import numpy as np
+import pytest
+
+from spendspark.functions import fixed_values as fv
+from spendspark.operators import insights, labels, reads, reconcile
+
+CENTROIDS = "cluster_index int, log_amount double, merchant_frequency double, is_recurring double, amount_stability double"
+
+
+def centroids(spark, rows):
+    return spark.createDataFrame(
+        [(i, float(np.log1p(a)), float(np.log1p(f)), r, s) for i, (a, f, r, s) in enumerate(rows)], CENTROIDS)
+
+
+def test_buckets_and_labels(spark):
+    rows = [
+        (2000.0, 3.0, 0.9, 0.1),   # recurring high
+        (2000.0, 40.0, 0.0, 0.1),  # frequent, big
+        (100.0, 50.0, 0.0, 0.1),   # frequent, small
+        (5000.0, 1.0, 0.0, 0.5),   # big
+        (200.0, 2.0, 0.0, 0.9),    # steady
+        (100.0, 2.5, 0.0, 0.2),    # small
+        (700.0, 2.5, 0.0, 0.2),    # middle
+        (700.0, 2.5, 0.0, 0.2),
+    ]
+    df = centroids(spark, rows)
+    raw = np.array([[r[c] for c in fv.CLUSTERING_COLUMNS] for r in df.orderBy("cluster_index").collect()])
+    got = labels.bucket_centroids(df).orderBy("cluster_index").toPandas()
+    for j, c in enumerate(fv.CLUSTERING_COLUMNS):
+        lo, hi = np.percentile(raw[:, j], [33, 66])
+        want = np.where(raw[:, j] <= lo, 0, np.where(raw[:, j] >= hi, 2, 1))
+        np.testing.assert_array_equal(got[f"{c}_bucket"], want)
+    out = {r["cluster_index"]: r for r in labels.label_clusters(df).collect()}
+    freq, stab = got.merchant_frequency_bucket, got.amount_stability_bucket
+
+    def want_label(i):
+        if got.is_recurring_bucket[i] == 2:
+            return fv.LABEL_RECURRING
+        if freq[i] == 2:
+            return fv.LABEL_FREQUENT_BIG if rows[i][0] >= 1500 else fv.LABEL_FREQUENT
+        if rows[i][0] >= 1500:
+            return fv.LABEL_BIG
+        if stab[i] == 2:
+            return fv.LABEL_OCCASIONAL
+        return fv.LABEL_SMALL if rows[i][0] <= 150 else fv.LABEL_MID
+
+    seen = {}
+    for i in range(len(rows)):
+        base = want_label(i)
+        seen[base] = seen.get(base, 0) + 1
+        assert out[i]["label"] == (base if seen[base] == 1 else f"{base} ({seen[base]})")
+    assert out[0]["avg_amount"] == 2000.0 and out[1]["typical_frequency"] == 40.0
+    assert out[0]["recurring_share"] == 0.9
+
+
+def test_flat_features_are_middle(spark):
+    got = labels.bucket_centroids(centroids(spark, [(10.0, 1.0, 0.0, 0.5)] * 3)).first()
+    assert [got[f"{c}_bucket"] for c in fv.CLUSTERING_COLUMNS] == [1, 1, 1, 1]
+    assert labels.label_clusters(centroids(spark, [(10.0, 1.0, 0.0, 0.5)] * 3)).count() == 3
+
+
+def insight_rows(spark):
+    def at(month, day=1):
+        return datetime(2024, month, day)
+
+    rows = [
+        # cluster 0: January 100, March 150 (February has no rows), April 150.50
+        ("a1", at(1), "100.00", "OLD", False), ("a2", at(3), "90.00", "OLD", False),
+        ("a3", at(3), "20.00", "ZED", False), ("a4", at(3), "20.00", "Bee", False),
+        ("a5", at(3), "10.00", "Abe", False), ("a6", at(3), "10.00", "Cat", True),
+        ("a7", at(4, 2), "75.25", "OLD", True), ("a8", at(4, 1), "75.25", "ZED", True),
+    ]
+    data = [(i, ts, Decimal(a), 0, "L", m, odd) for i, ts, a, m, odd in rows]
+    data.append(("b1", at(1), Decimal("5.00"), 1, "K", "OLD", False))
+    return spark.createDataFrame(
+        data, "id string, txn_date timestamp, amount decimal(14,2), cluster_index int, label string, "
+              "counterparty_normalized string, is_anomaly boolean")
+
+
+def test_insights(spark):
+    got = [tuple(r) for r in insights.top_insights(insights.all_insights(insight_rows(spark))).collect()]
+    assert got == [
+        (0, "2024-04", "anomaly", "warn", Decimal("75.25"),
+         '2 unusual transaction(s) in "L" in 2024-04; largest ₹75 at ZED.'),
+        (0, "2024-03", "new_merchant", "info", Decimal("60.00"),
+         '4 new merchant(s) in "L" this 2024-03: Abe, Bee, Cat.'),
+        (0, "2024-03", "trend", "warn", Decimal("50.00"),
+         'Your "L" spending grew 50% in 2024-03 (₹100 → ₹150).'),
+    ]
+    assert insights.top_insights(insights.all_insights(insight_rows(spark)), 1).count() == 1
+    assert insights.all_insights(insight_rows(spark).limit(0)).count() == 0
+
+
+def store(spark):
+    t = datetime(2024, 5, 1)
+    runs = spark.createDataFrame([("r1", t), ("r2", t + timedelta(days=1))], "id string, created_at timestamp")
+    txns = spark.createDataFrame(
+        [(f"t{i}", t + timedelta(days=20 * i), Decimal(i), "spend" if i else "income", f"Shop_{i}") for i in range(4)],
+        "id string, txn_date timestamp, amount decimal(14,2), txn_kind string, counterparty_normalized string")
+    assigned = spark.createDataFrame(
+        [("t1", "r1", 0, True), ("t1", "r2", 0, False), ("t2", "r2", 1, True), ("t3", "r2", 1, False)],
+        "transaction_id string, run_id string, cluster_index int, is_anomaly boolean")
+    assigned = assigned.selectExpr("*", "0D as pca_x", "0D as pca_y", "string(null) as anomaly_reason")
+    clusters = spark.createDataFrame(
+        [("r1", 0, "A"), ("r2", 0, "A"), ("r2", 1, "B")], "run_id string, cluster_index int, label string")
+    return runs, txns, assigned, clusters
+
+
+def test_reads(spark):
+    runs, txns, assigned, clusters = store(spark)
+    assert reads.resolve_run(runs) == "r2" and reads.resolve_run(runs, "r1") == "r1"
+    assert [r["id"] for r in reads.list_runs(runs).collect()] == ["r2", "r1"]
+    assert reads.list_runs(runs, latest=True).count() == 1
+    assert [r["label"] for r in reads.list_clusters(runs, clusters).collect()] == ["A", "B"]
+    assert reads.scatter_points(runs, txns, assigned, clusters).count() == 3
+    assert reads.scatter_points(runs, txns, assigned, clusters, "r1").count() == 1
+    series = reads.spend_over_time(runs, txns, assigned, clusters)
+    got = [(r["month"], r["label"], r["total"]) for r in series.collect()]
+    assert got == [("2024-05", "A", Decimal(1)), ("2024-05", "B", Decimal(0)), ("2024-06", "A", Decimal(0)),
+                   ("2024-06", "B", Decimal(5))]
+    wide = reads.spend_pivot(series, ["A", "B"]).collect()
+    assert [(r["month"], r["A"], r["B"]) for r in wide] == [
+        ("2024-05", Decimal(1), Decimal(0)), ("2024-06", Decimal(0), Decimal(5))]
+
+    def ids(df):
+        return sorted(r["id"] for r in df.collect())
+
+    assert ids(reads.in_cluster(txns, runs, assigned, 1)) == ["t2", "t3"]
+    assert ids(reads.in_cluster(txns, runs, assigned, is_anomaly=True)) == ["t2"]
+    assert ids(reads.in_cluster(txns, runs, assigned)) == ["t0", "t1", "t2", "t3"]
+    assert ids(reads.in_cluster(txns, runs.limit(0), assigned, 1)) == []
+    assert ids(reads.filter_transactions(txns, merchant="op%2")) == ["t2"]
+    assert ids(reads.filter_transactions(txns, merchant="shop_")) == ["t0", "t1", "t2", "t3"]
+    assert ids(reads.filter_transactions(txns, start=datetime(2024, 5, 21), end=datetime(2024, 6, 10))) == ["t1", "t2"]
+    assert ids(reads.filter_transactions(txns, txn_kind="income")) == ["t0"]
+    assert [r["id"] for r in reads.page(txns, limit=2, offset=1).collect()] == ["t2", "t1"]
+    last = reads.page(txns, limit=2).collect()[-1]
+    assert [r["id"] for r in reads.page(txns, 2, after=(last["txn_date"], last["id"])).collect()] == ["t1", "t0"]
+    with pytest.raises(ValueError):
+        reads.page(txns, limit=5001)
+    with pytest.raises(reads.NoRunError):
+        reads.list_clusters(runs.limit(0), clusters)
+    assert [r["id"] for r in reads.by_amount(txns, False).collect()] == ["t0", "t1", "t2", "t3"]
+    normal, odd = reads.split_points(reads.scatter_points(runs, txns, assigned, clusters))
+    assert (normal.count(), odd.count()) == (2, 1)
+
+
+def test_list_insights_and_queue(spark):
+    runs, *_ = store(spark)
+    rows = insights.all_insights(insight_rows(spark)).selectExpr("*", "'r2' as run_id")
+    assert reads.list_insights(runs, rows).first()["kind"] == "anomaly"
+    assert reads.list_insights(runs, rows, month="2024-03").count() == 2
+    assert reads.list_insights(runs, rows, run_id="r1").count() == 0
+    assert reads.list_insights(runs.limit(0), rows).count() == 0
+    queue = spark.createDataFrame(
+        [("f", f"l{i}", "why", datetime(2024, 1, 1 + i)) for i in range(5)],
+        "source_file string, raw_line string, reason string, created_at timestamp")
+    assert [r["raw_line"] for r in reads.unparsed_queue(queue, 2).collect()] == ["l4", "l3"]
+
+
+def test_reconcile(spark):
+    t = datetime(2024, 1, 1, 5)
+
+    def side(*keys):
+        return spark.createDataFrame(
+            [(t + timedelta(hours=i), Decimal(a), d) for i, (a, d) in enumerate(keys)],
+            "txn_date timestamp, amount decimal(14,2), direction string")
+
+    truth = side(("1", "debit"), ("1", "debit"), ("2", "debit"), ("3", "credit"))
+    got = side(("1", "debit"), ("2", "credit"), ("3", "credit"), ("3", "credit"))
+    row = reconcile.reconcile_summary(truth, got).first().asDict()
+    assert row == {"total_truth": 4, "total_parsed": 4, "matched": 2, "misses": 2, "false_positives": 2,
+                   "match_rate": 0.5, "meets_target": False}
+    assert [(r["amount"], r["n_missing"]) for r in reconcile.reconcile_misses(truth, got).collect()] == [
+        (Decimal(1), 1), (Decimal(2), 1)]
+    assert reconcile.common_rows(truth, got).count() == 2
+    assert reconcile.missing_rows(truth, got).count() == 2
+    empty = reconcile.reconcile_summary(truth.limit(0), got).first()
+    assert empty["match_rate"] == 0.0 and empty["false_positives"] == 4
+    assert reconcile.reconcile_summary(truth, truth).first()["meets_target"]
