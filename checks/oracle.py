@@ -187,20 +187,11 @@ SCALED = FEATURES + [
 ]
 
 # --- fuzzy names ---------------------------------------------------------------------
-FUZZY = KEYED + [
-    """names AS (
-  SELECT scrubbed AS name, count(*) AS n,
-    row_number() OVER (ORDER BY count(*) DESC, scrubbed) AS rk
-  FROM keyed GROUP BY 1)""",
-    "worded AS (SELECT *, list_sort(list_distinct(string_split(name, ' '))) AS w FROM names)",
-    """parts AS (
-  SELECT a.rk AS a, b.rk AS b,
-    array_to_string(list_sort(list_filter(a.w, lambda x: list_contains(b.w, x))), ' ') AS i,
-    array_to_string(list_filter(a.w, lambda x: NOT list_contains(b.w, x)), ' ') AS da,
-    array_to_string(list_filter(b.w, lambda x: NOT list_contains(a.w, x)), ' ') AS db
-  FROM worded a JOIN worded b ON a.rk < b.rk)""",
-    """lcs AS (
-  SELECT a, b, da, db, 0 AS step, (1::BIGINT << length(da)) - 1 AS v FROM parts
+def lcs_ctes(parts: str) -> list[str]:
+    """Insert/delete distance of da and db (one bit per character of da, up to 62)."""
+    return [
+        f"""lcs AS (
+  SELECT a, b, da, db, 0 AS step, (1::BIGINT << length(da)) - 1 AS v FROM {parts}
   UNION ALL
   SELECT a, b, da, db, step + 1,
     ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(da)) - 1)
@@ -209,19 +200,35 @@ FUZZY = KEYED + [
       lambda x: CASE WHEN da[x] = db[step + 1] THEN 1::BIGINT << CAST(x - 1 AS INTEGER) ELSE 0 END)), 0)
       AS BIGINT) AS m
     FROM lcs WHERE step < length(db)))""",
-    """distances AS (
+        """distances AS (
   SELECT a, b, length(da) + length(db)
     - 2 * (length(da) - bit_count(v)) AS d
   FROM lcs WHERE step = length(db))""",
-    """scores AS (
-  SELECT a, b, CASE
+    ]
+
+
+SCORE = """CASE
     WHEN i <> '' AND (da = '' OR db = '') THEN 100.0::DOUBLE
     WHEN i = '' THEN 100 - 100.0::DOUBLE * d / (length(da) + length(db))
     ELSE greatest(
       100 - 100.0::DOUBLE * d / (2 * length(i) + 2 + length(da) + length(db)),
       100 - 100.0::DOUBLE * (1 + length(da)) / (2 * length(i) + 1 + length(da)),
-      100 - 100.0::DOUBLE * (1 + length(db)) / (2 * length(i) + 1 + length(db))) END AS score
-  FROM parts JOIN distances USING (a, b))""",
+      100 - 100.0::DOUBLE * (1 + length(db)) / (2 * length(i) + 1 + length(db))) END"""
+
+FUZZY = KEYED + [
+    """names AS (
+  SELECT scrubbed AS name, count(*) AS n,
+    row_number() OVER (ORDER BY count(*) DESC, scrubbed) AS rk
+  FROM keyed GROUP BY 1)""",
+    "worded AS (SELECT *, list_sort(list_distinct(string_split(name, ' '))) AS w FROM names)",
+    """parts AS (
+  SELECT a.rk AS a, b.rk AS b,
+    array_to_string(list_sort(list_filter(a.w, lambda x: list_contains(b.w, x))), ' ') AS i,
+    array_to_string(list_filter(a.w, lambda x: NOT list_contains(b.w, x)), ' ') AS da,
+    array_to_string(list_filter(b.w, lambda x: NOT list_contains(a.w, x)), ' ') AS db
+  FROM worded a JOIN worded b ON a.rk < b.rk)""",
+    *lcs_ctes("parts"),
+    f"scores AS (SELECT a, b, {SCORE} AS score FROM parts JOIN distances USING (a, b))",
     """earlier AS (
   SELECT rk, list(a) FILTER (a IS NOT NULL) AS near
   FROM names LEFT JOIN scores ON b = rk AND score >= 88 GROUP BY rk)""",
@@ -572,6 +579,18 @@ O["txn_kind_rules"] = with_(
 O["txn_offset_pairs"] = with_(PAIRS, select="""
 SELECT l.source_file, l.row_no, o.row_no IS NOT NULL AS is_offset
 FROM ledger l LEFT JOIN offsets o ON o.source_file = l.source_file AND o.row_no = l.row_no""")
+O["token_set_pairs"] = with_(
+    KEYED,
+    """rm AS (SELECT DISTINCT upper(counterparty_raw) AS raw, scrubbed AS merchant FROM keyed)""",
+    """sets AS (
+  SELECT raw AS a, merchant AS b, list_sort(list_distinct(string_split(raw, ' '))) AS wa,
+    list_sort(list_distinct(string_split(merchant, ' '))) AS wb FROM rm)""",
+    """parts AS (
+  SELECT a, b, array_to_string(list_filter(wa, lambda x: list_contains(wb, x)), ' ') AS i,
+    array_to_string(list_filter(wa, lambda x: NOT list_contains(wb, x)), ' ') AS da,
+    array_to_string(list_filter(wb, lambda x: NOT list_contains(wa, x)), ' ') AS db FROM sets)""",
+    lcs_ctes("parts"),
+    select=f"SELECT a AS raw, b AS merchant, {r6(SCORE)} AS score FROM parts JOIN distances USING (a, b)")
 O["merchant_fuzzy_groups"] = with_(
     FUZZY, select=f"SELECT name, n, canonical, {r6('score')} AS score FROM canon")
 O["clean_ledger_full"] = with_(
@@ -603,6 +622,38 @@ O["build_features"] = with_(FEATURES, select="SELECT transaction_id, " + ", ".jo
 
 O["standardise"] = with_(SCALED, select="SELECT transaction_id, " + ", ".join(
     f"{r6(c)} AS {c}" for c in CLUSTERING) + " FROM scaled")
+def _times(v: str = "v") -> list[str]:
+    return ["(" + " + ".join(f"m{i}{j} * {v}{j}" for j in range(4)) + ")" for i in range(4)]
+
+
+def _power(name: str, matrix: str) -> list[str]:
+    """Leading eigenvector of a 4 x 4 matrix row (m00..m33), turned to a positive top loading."""
+    w = _times()
+    norm = "sqrt(" + " + ".join(f"{x} * {x}" for x in w) + ")"
+    start = ", ".join(f"{x}::DOUBLE AS v{i}" for i, x in enumerate((0.5, 0.4, 0.3, 0.2)))
+    size = "sqrt(" + " + ".join(f"v{i} * v{i}" for i in range(4)) + ")"
+    top = "(CASE WHEN greatest(" + ", ".join(f"v{i}" for i in range(4)) + ") >= -least(" + ", ".join(
+        f"v{i}" for i in range(4)) + f") THEN 1 ELSE -1 END / {size})"
+    return [
+        f"""{name}_it AS (
+  SELECT 0 AS n, {start}
+  UNION ALL SELECT n + 1, {", ".join(f"{x} / {norm} AS v{i}" for i, x in enumerate(w))}
+  FROM {name}_it, {matrix} WHERE n < 2000)""",
+        f"{name} AS MATERIALIZED (SELECT " + ", ".join(f"v{i} * {top} AS v{i}" for i in range(4))
+        + f" FROM {name}_it ORDER BY n DESC LIMIT 1)",
+    ]
+
+
+_cov = "cov AS MATERIALIZED (SELECT " + ", ".join(
+    f"covar_pop({a}, {b}) AS m{i}{j}" for i, a in enumerate(CLUSTERING) for j, b in enumerate(CLUSTERING)) + " FROM scaled)"
+_lam = "(" + " + ".join(f"v{i} * {x}" for i, x in enumerate(_times())) + ")"
+_deflated = "rest AS MATERIALIZED (SELECT " + ", ".join(
+    f"m{i}{j} - {_lam} * v{i} * v{j} AS m{i}{j}" for i in range(4) for j in range(4)) + " FROM cov, axis1)"
+O["pca_2d"] = with_(
+    SCALED, _cov, _power("axis1", "cov"), _deflated, _power("axis2", "rest"),
+    select="SELECT transaction_id, "
+    + r6(" + ".join(f"{c} * a.v{i}" for i, c in enumerate(CLUSTERING))) + " AS pca_x, "
+    + r6(" + ".join(f"{c} * b.v{i}" for i, c in enumerate(CLUSTERING))) + " AS pca_y FROM scaled, axis1 a, axis2 b")
 O["assign_centroid"] = with_(
     VECTORS, select=f"SELECT vec_id, cluster_index, {r6('d')} AS distance_to_centroid FROM nearest")
 O["silhouette_embeddings"] = with_(
