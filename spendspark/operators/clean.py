@@ -15,13 +15,14 @@ from ..schema import SOURCE_ORDER
 
 
 def add_keys(rows: DataFrame) -> DataFrame:
-    """Dedup key (from the unmasked name) and the hashed reference."""
-    return rows.withColumns({
-        "dedup_key": dedup_key(
-            F.col("txn_date"), F.col("amount"), F.col("direction"),
-            F.col("counterparty_raw"), F.col("reference_id")),
-        "reference_hash": hash_reference(F.col("reference_id")),
-    })
+    """Dedup key, from the unmasked name."""
+    return rows.withColumn("dedup_key", dedup_key(
+        F.col("txn_date"), F.col("amount"), F.col("direction"),
+        F.col("counterparty_raw"), F.col("reference_id")))
+
+
+def add_reference_hash(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("reference_hash", hash_reference(F.col("reference_id")))
 
 
 def add_scrubbed(rows: DataFrame, mask_first: bool = True) -> DataFrame:

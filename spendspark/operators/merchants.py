@@ -176,13 +176,19 @@ def canonical_names(
         "name", "n", "canonical", "score")
 
 
-def canonicalise(
+def name_mapping(
     rows: DataFrame, threshold: float = 88.0, name: str = "counterparty_normalized", **kwargs
+) -> DataFrame:
+    """(name, canonical) of the names in ``rows`` that belong to another name."""
+    return canonical_names(name_counts(rows, name), threshold, **kwargs).filter(
+        F.col("name") != F.col("canonical")).select("name", "canonical")
+
+
+def apply_mapping(
+    rows: DataFrame, mapping: DataFrame, name: str = "counterparty_normalized"
 ) -> DataFrame:
     """Replace each name by its canonical one."""
-    mapping = canonical_names(name_counts(rows, name), threshold, **kwargs).select(
-        F.col("name").alias(name), "canonical")
-    changed = mapping.filter(F.col(name) != F.col("canonical"))
+    changed = mapping.select(F.col("name").alias(name), "canonical")
     return (
         rows.join(broadcast_if_small(changed), name, "left")
         .withColumn(name, F.coalesce("canonical", name))

@@ -104,8 +104,8 @@ def tag_offsets(
     )
 
 
-def offset_kinds(rows: DataFrame, **kwargs) -> DataFrame:
+def offset_kinds(tagged: DataFrame) -> DataFrame:
     """Pairing overrides every rule-made kind."""
-    return tag_offsets(rows, **kwargs).withColumn(
+    return tagged.withColumn(
         "txn_kind", F.when(F.col("is_offset"), "self_transfer").otherwise(F.col("txn_kind"))
     ).drop("is_offset")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..operators import clean as ops
-from ..operators.merchants import canonicalise
-from ..operators.transfers import offset_kinds
+from ..operators.merchants import apply_mapping, name_mapping
+from ..operators.transfers import offset_kinds, tag_offsets
 
 
 def clean_ledger(
@@ -23,13 +23,16 @@ def clean_ledger(
 ) -> DataFrame:
     """Clean raw rows.
 
-    Keys come from unmasked names; names are scrubbed, grouped (unless
-    ``fuzzy_threshold`` is None), overridden and masked; kinds follow from rules and then
-    from offset pairs; copies go last, so they still took part in pairing.
+    Pairing and deduplication need only amounts, times and the key of the unmasked row, so
+    they come first and shuffle raw rows; names are scrubbed, grouped (unless
+    ``fuzzy_threshold`` is None), overridden and masked on what is left. Copies still take
+    part in pairing and in the counts that rank names.
     """
-    rows = ops.add_scrubbed(ops.add_keys(rows), mask_first)
+    kept = ops.first_of_each(ops.add_keys(tag_offsets(rows)))
+    named = ops.add_scrubbed(ops.add_reference_hash(kept), mask_first)
     if fuzzy_threshold is not None:
-        rows = canonicalise(rows, fuzzy_threshold)
-    rows = ops.mask_names(ops.apply_overrides(rows, overrides))
-    rows = offset_kinds(ops.rule_kinds(rows, owner_terms, whole_word))
-    return ops.first_of_each(rows).withColumn("id", F.col("dedup_key"))
+        names = ops.add_scrubbed(rows.select("counterparty_raw"), mask_first)
+        named = apply_mapping(named, name_mapping(names, fuzzy_threshold))
+    named = ops.mask_names(ops.apply_overrides(named, overrides))
+    kinds = offset_kinds(ops.rule_kinds(named, owner_terms, whole_word))
+    return kinds.withColumn("id", F.col("dedup_key"))
