@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.dates import any_of, micros, whole_days
+from ..functions.dates import any_of, micros
 
 
 def calendar_features(rows: DataFrame) -> DataFrame:
