@@ -77,3 +77,58 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR 100 * covered > 30 * n_words OR too_long > 0) AS kept
 FROM counted
 """
+
+
+OP6_SQL = f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0
+                       THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), rules(rhost, rpath, says) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+         ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), c AS (
+  SELECT page_id, host, path,
+         regexp_replace(host, '^www\\.', '') || regexp_replace(path, '(\\.html?|/)$', '') AS canon,
+         (SELECT max_by(rhost || rpath || ' ' || says, length(rhost || rpath)) FROM rules
+          WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS best
+  FROM p
+), listed AS (
+  SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '(^|\\.)spam')
+)
+SELECT page_id, host, path, split_part(best, ' ', 1) AS rule,
+       CASE WHEN best IS NOT NULL THEN split_part(best, ' ', 2)
+            WHEN canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM c
+"""
+
+_TEXT, _ROLE = "coalesce(text, '')", "coalesce(role, '')"
+
+
+def _escaped_length(text: str) -> str:
+    return f"(2 * length({text}) - length(regexp_replace({text}, '[~<|\\[]', '', 'g')))"
+
+
+OP9_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'),
+                   (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), o AS (
+  SELECT conv_id, {_ROLE} AS role, {_TEXT} AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST,
+                            text NULLS FIRST) AS k FROM t
+), g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS said,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '') AS loss,
+         sum(2 + {_escaped_length('role')} + 3 + {_escaped_length('text')} + 8) AS chars
+  FROM o GROUP BY conv_id
+)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256,
+       CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(3 + chars AS BIGINT) AS formatted_chars
+FROM g
+"""
