@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spendspark.llm.chat import chat_digests, format_branches, linear_messages
 from spendspark.llm.decontaminate import find_contaminated
+from spendspark.llm.near_duplicates import near_duplicate_classes
 from spendspark.llm.oracle import OP2_SQL, OP5_SQL, OP6_SQL, OP9_SQL
 from spendspark.llm.packing import pack_documents
 from spendspark.llm.quality import score_quality
@@ -43,6 +44,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, listed_by_label(pages))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     probe = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{says}'), "
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filters": op6_url_filters,
+    "op7_minhash": op7_minhash,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_packing": op10_packing,
 }
