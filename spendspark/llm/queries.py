@@ -12,6 +12,7 @@ from spendspark.llm.decontaminate import find_contaminated
 from spendspark.llm.near_duplicates import near_duplicate_classes
 from spendspark.llm.oracle import OP2_SQL, OP5_SQL, OP6_SQL, OP9_SQL
 from spendspark.llm.packing import pack_documents
+from spendspark.llm.pii import pseudonymise
 from spendspark.llm.quality import score_quality
 from spendspark.llm.sharding import assign_shards
 from spendspark.llm.urls import judge_urls, listed_by_label
@@ -48,6 +49,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_table(spark, sf_dir, "documents"), "registered query")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     probe = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{says}'), "
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filters": op6_url_filters,
     "op7_minhash": op7_minhash,
+    "op8_pii": op8_pii,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_packing": op10_packing,
 }
