@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spendspark.llm.chat import chat_digests, format_branches, linear_messages
 from spendspark.llm.decontaminate import find_contaminated
+from spendspark.llm.line_dedup import drop_repeated_lines
 from spendspark.llm.near_duplicates import near_duplicate_classes
 from spendspark.llm.oracle import OP2_SQL, OP5_SQL, OP6_SQL, OP9_SQL
 from spendspark.llm.packing import pack_documents
@@ -36,6 +37,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                              _table(spark, sf_dir, "benchmark"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", "text")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents")).drop("n_covered", "longest_repeat")
 
@@ -68,6 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
+    "op3_line_dedup": op3_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filters": op6_url_filters,
     "op7_minhash": op7_minhash,
