@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spendspark.llm.chat import chat_digests, format_branches, linear_messages
 from spendspark.llm.decontaminate import find_contaminated
+from spendspark.llm.language import detect_languages, learn_languages
 from spendspark.llm.line_dedup import drop_repeated_lines
 from spendspark.llm.near_duplicates import near_duplicate_classes
 from spendspark.llm.oracle import OP2_SQL, OP5_SQL, OP6_SQL, OP9_SQL
@@ -42,6 +43,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", "text")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return detect_languages(docs, learn_languages(docs)).drop("runs")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents")).drop("n_covered", "longest_repeat")
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filters": op6_url_filters,
     "op7_minhash": op7_minhash,

@@ -6,7 +6,7 @@ slice at once, with 64-bit hashes. Slices keep the temporary arrays small whatev
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -107,12 +107,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges: polynomials of the bytes, from running sums."""
+def range_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Gives 64-bit hashes of byte ranges: polynomials of the bytes, from running sums."""
     up, down = _power(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    return lambda starts, ends: mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return range_hasher(data)(starts, ends)
 
 
 def hash_windows(hashes: np.ndarray, size: int) -> np.ndarray:
