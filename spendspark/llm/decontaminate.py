@@ -27,7 +27,7 @@ WINDOW = 13
 SHINGLE = 3
 BLOCK_BYTES = 2 << 20
 
-SCHEMA = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, "
+SCHEMA = ("doc_id long, th long, n_words long, n_hit long, n_items long, items_sha256 string, "
           "contaminated boolean")
 
 
@@ -201,7 +201,9 @@ def _item_blocks(benchmark: DataFrame, block: int) -> Iterator[tuple[list[tuple[
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
                       shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document row: n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document row: doc_id, th, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    ``th`` is a hash of the text.
 
     Benchmarks of any size are taken in blocks of about ``block_bytes``, the only thing that
     is broadcast; results are the same for every block size. Null or empty text has no words
@@ -209,7 +211,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WI
     items with one id count once; repeated document rows are judged each on their own; other
     columns are not looked at.
     """
-    state = docs.select("doc_id", "text", F.array().cast("array<long>").alias("hits"),
+    state = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", F.array().cast("array<long>").alias("hits"),
                         F.array().cast("array<string>").alias("items"))
     for rows, last in _item_blocks(benchmark, block_bytes):
         windows = item_windows(rows, window, shingle)
@@ -224,29 +226,30 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text, so equal rows go or stay together.
     """
-    found = find_contaminated(docs, benchmark)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    bad = find_contaminated(docs, benchmark).where("contaminated").select(
+        F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"])
+                     & (F.xxhash64(docs["text"]) == bad["__th"]), "left_anti")
 
 
-STATE = "doc_id long, text string, hits array<long>, items array<string>"
+STATE = "doc_id long, th long, text string, hits array<long>, items array<string>"
 
 
 def _carried(own: pa.RecordBatch, words: Words, hits: list, items: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [own.column("doc_id").cast(pa.int64()), own.column("text"),
+        [own.column("doc_id").cast(pa.int64()), own.column("th"), own.column("text"),
          pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-        names=["doc_id", "text", "hits", "items"])
+        names=["doc_id", "th", "text", "hits", "items"])
 
 
 def _judged(own: pa.RecordBatch, words: Words, hits: list, items: list) -> pa.RecordBatch:
     n_words, n_hit = np.diff(words.first), np.array([len(x) for x in hits], np.int64)
     return pa.RecordBatch.from_arrays(
-        [own.column("doc_id").cast(pa.int64()), pa.array(n_words), pa.array(n_hit),
+        [own.column("doc_id").cast(pa.int64()), own.column("th"), pa.array(n_words), pa.array(n_hit),
          pa.array([len(x) for x in items], pa.int64()),
          pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
          pa.array((n_hit > 0) & (20 * n_hit >= n_words))],
-        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        names=["doc_id", "th", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def _matched(state: DataFrame, windows: Windows, prefix: dict[int, Probe], schema: str,
