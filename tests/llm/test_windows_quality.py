@@ -1,0 +1,132 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from checks.compare import compare, connect
+from spendspark.llm.decontaminate import drop_contaminated, find_contaminated
+from spendspark.llm.quality import QualityLimits, keep_good, longest_repeats, score_quality
+from spendspark.llm.queries import ORACLE, QUERIES
+from spendspark.llm.textarrays import hash_windows, text_slices
+
+SF = "/root/testdata/sf0.001"
+ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_against_sql(spark, name):
+    got = QUERIES[name](spark, SF).toPandas()
+    assert compare(got, connect(SF).execute(ORACLE[name]).fetchdf()) is None
+
+
+def test_sql_has_queries():
+    assert set(ORACLE) <= set(QUERIES)
+
+
+def item_words(text):
+    return ITEM.findall((text or "").translate(LOWER))
+
+
+def plain_contamination(text, items):
+    w, hit, found = item_words(text), set(), set()
+    for name, item in items:
+        iw = item_words(item)
+        for i in range(max(1, len(iw) - 12) if iw else 0):
+            win = iw[i:i + 13]
+            for k in range(len(w) - len(win) + 1):
+                if w[k:k + len(win)] == win:
+                    hit.update(range(k, k + len(win)))
+                    found.add(name)
+    names = sorted("" if n is None else str(n) for n in found)
+    return (len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(),
+            len(hit) > 0 and 20 * len(hit) >= len(w))
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_contamination_against_plain_python(spark, make_docs, messy, block):
+    rng = random.Random(4)
+    sign = lambda n: " ".join(rng.choice(["a", "B", "c,", "É", "d1"]) for _ in range(n))
+    items = [(i, sign(rng.choice([1, 3, 13, 14, 25]))) for i in range(12)]
+    items += [(5, "twice the same id"), (None, "no name at all"), (20, None), (21, "!!"), (22, "ok")]
+    rows = [(i, sign(rng.randint(0, 120))) for i in range(40)]
+    rows += [(100 + i, sign(20) + " " + items[i][1].upper() + "; " + sign(30)) for i in range(12)]
+    rows += [(200, "twice THE-same id"), (201, "no name at all"), (202, "ok"), (202, "ok"), (203, "ok\u3000no")]
+    docs = make_docs(rows).unionByName(messy.where("doc_id <> 7 OR doc_id IS NULL"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(repr, (tuple(r)[:1] + tuple(r)[2:] for r in find_contaminated(
+        docs, bench, block_bytes=block).collect())))
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert got == sorted(repr((i, *plain_contamination(t, items))) for i, t in texts)
+    kept = drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(
+        repr((i, t)) for i, t in texts if not plain_contamination(t, items)[4])
+
+
+def test_contamination_empty_tables(spark, messy):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert find_contaminated(messy, none).where("n_hit > 0 OR contaminated").count() == 0
+    some = spark.createDataFrame([(1, "ok")], "item_id long, text string")
+    assert find_contaminated(messy.limit(0), some).count() == 0
+
+
+def plain_repeats(words, at_least):
+    n, out = len(words), []
+    for i in range(n):
+        best = 0
+        for j in range(n):
+            k = 0
+            while i != j and max(i, j) + k < n and words[i + k] == words[j + k]:
+                k += 1
+            best = max(best, k)
+        out.append(best if best >= at_least else 0)
+    return out
+
+
+@pytest.mark.parametrize("at_least", [1, 2, 3, 8])
+def test_suffix_arrays(at_least):
+    rng = random.Random(at_least)
+    texts = [[rng.randint(0, top) for _ in range(rng.randint(0, 45))] for top in (0, 1, 2, 5) for _ in range(6)]
+    texts[3] = texts[3] * 3
+    flat = np.array([w for t in texts for w in t], np.uint64) + np.uint64(9)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    end = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+    assert longest_repeats(flat, owner, end, at_least).tolist() == [
+        x for t in texts for x in plain_repeats(t, at_least)]
+
+
+def test_quality_of_messy_texts(messy):
+    rows = score_quality(messy).collect()
+    assert len(rows) == messy.count()
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[1]["kept"] and not by_id[3]["kept"] and by_id[4]["n_words"] == 0
+    assert by_id[6]["n_words"] == 1 and by_id[7]["n_words"] == 30_000 and by_id[7]["kept"]
+    kept = keep_good(messy)
+    assert kept.columns == messy.columns
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "1", "2", "7", "9", "None"]
+    assert score_quality(messy.limit(0)).count() == 0 and keep_good(messy.limit(0)).count() == 0
+
+
+def test_repetition_rule(make_docs):
+    fresh = [f"u{i}" for i in range(400)]
+    once = " ".join(fresh)
+    quarter = " ".join(fresh + fresh[:60])  # 120 of 460 words covered
+    third = " ".join(fresh + fresh[:95])  # 190 of 495
+    long = " ".join(fresh * 3 + [f"v{i}" for i in range(9000)])
+    got = {r["doc_id"]: (r["n_covered"], r["longest_repeat"], r["kept"]) for r in score_quality(
+        make_docs([(1, once), (2, quarter), (3, third), (4, long)])).collect()}
+    assert got == {1: (0, 0, True), 2: (120, 60, True), 3: (190, 95, False), 4: (1200, 800, False)}
+    assert QualityLimits().min_repeat == 8
+
+
+def test_slices_do_not_change_hashes():
+    texts = pa.array(["a b c", None, "", "d e", "ß é"])
+    whole = [t.data.tobytes() for t in text_slices(texts)]
+    assert b"".join(t.data.tobytes() for t in text_slices(texts, 1)) == whole[0]
+    assert len(hash_windows(np.zeros(3, np.uint64), 5)) == 0
