@@ -10,6 +10,7 @@ place in it by their rank among the pieces of their length.
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from spendspark.llm.storage import stored
 from spendspark.llm.textarrays import byte_set, hash_ranges, text_slices
 
 END_ID = 0
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 SLICE_BYTES = 1 << 22
 RANK_GROUP_ROWS = 500_000
 
@@ -125,6 +126,12 @@ class ChunkEncoder:
         return ids, filled[np.searchsorted(starts, bounds)]
 
 
+@functools.lru_cache(maxsize=1)
+def shared_encoder(path: str, ranks_path: str) -> ChunkEncoder:
+    """One for each worker process, whose tasks share what it has learnt."""
+    return ChunkEncoder(path, ranks_path)
+
+
 def tokenizer_files() -> tuple[str, str]:
     """The tokeniser and the ranks of its vocabulary."""
     return (public_tokenizers.path("byte_bpe_50k.json"),
@@ -139,7 +146,7 @@ def token_pieces(docs: DataFrame, files: tuple[str, str], capacity: int,
     they come: repeated rows give repeated pieces.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(*files)
+        encode = shared_encoder(*files)
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for texts in text_slices(batch.column("text"), SLICE_BYTES):
