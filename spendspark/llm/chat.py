@@ -8,6 +8,8 @@ messages of the chosen ones. A branch becomes one text with a mask of what the l
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,10 @@ def _joined(a: DataFrame, b: DataFrame, left: str, right: str, how: str = "inner
     return a.join(other, F.expr(f"conv_id <=> tree AND {left} = at"), how).drop("tree", "at")
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def branch_messages(messages: DataFrame, keep: int = 1) -> DataFrame:
     """Messages of the ``keep`` best branches of each tree: conv_id, leaf, msg_id, back.
 
@@ -52,29 +58,29 @@ def branch_messages(messages: DataFrame, keep: int = 1) -> DataFrame:
                    .select("conv_id", "msg_id", "up", F.col("score").alias("total"),
                            F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist")),
                    "tree")
-    jumps, open_before = [], None
-    while True:
-        still_open = state.where("up is not null").count()
-        if still_open == 0 or still_open == open_before and 2 ** len(jumps) > still_open:
-            break
-        jumps.append(state)
-        open_before = still_open
-        farther = state.select("conv_id", F.col("msg_id").alias("known"), F.col("up").alias("next"),
+    ended = [state.where("up is null")]
+    jumps = [state.where("up is not null")]
+    left = jumps[0].count()
+    while left:
+        known = _all(ended).unionByName(jumps[-1])
+        farther = known.select("conv_id", F.col("msg_id").alias("known"), F.col("up").alias("next"),
                                F.col("dist").alias("more"), F.col("total").alias("plus"))
-        state = stored(_joined(state, farther, "up", "known", "left").select(
-            "conv_id", "msg_id", F.col("next").alias("up"),
-            (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"),
-            (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist")), "tree")
-    first = jumps[0] if jumps else state
-    answered = first.where("up is not null").select("conv_id", "up").distinct()
-    done = state.where("up is null")
-    leaves = _joined(done, answered, "msg_id", "up", "left_anti")
+        state = stored(_joined(jumps[-1], farther, "up", "known").select(
+            "conv_id", "msg_id", F.col("next").alias("up"), (F.col("total") + F.col("plus")).alias("total"),
+            (F.col("dist") + F.col("more")).alias("dist")), "tree")
+        ended.append(state.where("up is null"))
+        before, left = left, state.where("up is not null").count()
+        if left == before and 2 ** len(jumps) > left:  # only cycles are left
+            break
+        jumps.append(state.where("up is not null"))
+    answered = jumps[0].select("conv_id", F.col("up").alias("known")).distinct()
+    leaves = _joined(_all(ended), answered, "msg_id", "known", "left_anti")
     best = (leaves.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(
         F.desc("total"), F.desc("dist"), "msg_id"))).where(F.col("place") <= keep))
     path = best.select("conv_id", F.col("msg_id").alias("leaf"), F.col("msg_id"),
                        F.lit(0).cast("long").alias("back"))
     for k in range(len(jumps) - 1, -1, -1):
-        up = jumps[k].where("up is not null").select("conv_id", F.col("msg_id").alias("known"), "up")
+        up = jumps[k].select("conv_id", F.col("msg_id").alias("known"), "up")
         path = stored(path, "branch") if k % 4 == 3 else path
         path = path.unionByName(_joined(path, up, "msg_id", "known").select(
             "conv_id", "leaf", F.col("up").alias("msg_id"), (F.col("back") + 2 ** k).alias("back")))
