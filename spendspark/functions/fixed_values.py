@@ -37,6 +37,7 @@ REASON_DATE = "unparseable date"
 REASON_AMOUNT = "unparseable amount"
 REASON_DIRECTION = "unknown direction"
 REASON_NO_ADAPTER = "No adapter recognizes the file"
+REASON_NO_READER = "No reader for %s files"
 UNKNOWN = "UNKNOWN"
 
 # --- statement text ----------------------------------------------------------
@@ -50,9 +51,6 @@ REASON_NO_FIELDS = "no date/amount in record"
 REASON_BAD_FIELDS = "unparseable date/amount"
 TEXT_CONFIDENCE = 0.7
 TABLE_CONFIDENCE = 1.0
-UNPARSED_TEXT_LENGTH = 200
-RAW_TEXT_LENGTH = 300
-COUNTERPARTY_LENGTH = 120
 
 # --- merchant names ----------------------------------------------------------
 HANDLE_CHAR = "[a-zA-Z0-9._-]"
@@ -68,7 +66,6 @@ REFUND_WORD = "refund"
 OFFSET_DAYS = 2
 REFERENCE_HASH_LENGTH = 16
 DEDUP_KEY_LENGTH = 32
-DEDUP_NAME_LENGTH = 40
 
 # --- features ------------------------------------------------------------------
 FEATURE_COLUMNS = [

@@ -36,9 +36,15 @@ def hash_reference(reference: Column) -> Column:
 
 
 def dedup_key(
-    txn_date: Column, amount: Column, direction: Column, name: Column, reference: Column
+    txn_date: Column, amount: Column, direction: Column, name: Column, reference: Column,
+    name_length: int | None = None,
 ) -> Column:
-    """Content key of a row: by reference where there is one, else by day and name."""
+    """Content key of a row: by reference where there is one, else by day and whole name.
+
+    ``name_length`` keys by that many letters of the name only, which merges rows whose
+    names differ later on.
+    """
+    short = F.substring(name, 1, name_length) if name_length else name
     money = amount.cast("decimal(14,2)").cast("string")
     by_reference = F.concat_ws("|", F.concat(F.lit("ref:"), reference), direction, money)
     by_name = F.concat_ws(
@@ -46,7 +52,7 @@ def dedup_key(
         F.date_format(txn_date, "yyyy-MM-dd"),
         money,
         direction,
-        F.lower(F.substring(name, 1, fv.DEDUP_NAME_LENGTH)),
+        F.lower(short),
     )
     text = F.when(F.length(reference) > 0, by_reference).otherwise(by_name)
     return F.substring(F.sha2(text, 256), 1, fv.DEDUP_KEY_LENGTH)
@@ -68,8 +74,11 @@ def scrub_merchant(name: Column, mask_first: bool = True) -> Column:
     return F.coalesce(F.nullif(n, F.lit("")), F.lit(fv.UNKNOWN))
 
 
-def text_counterparty(text: Column) -> Column:
-    """What is left of a statement line without its date, time, amount and verbs."""
+def text_counterparty(text: Column, length: int | None = None) -> Column:
+    """What is left of a statement line without its date, time, amount and verbs.
+
+    ``length`` cuts it for display.
+    """
     t = F.regexp_replace(text, f"(?mdU)^{fv.TEXT_DATE}", "")
     t = F.regexp_replace(t, f"(?U){fv.TEXT_TIME}", "")
     t = F.regexp_replace(t, f"(?U){fv.TEXT_AMOUNT}", "")
@@ -77,5 +86,5 @@ def text_counterparty(text: Column) -> Column:
     t = F.regexp_replace(t, rf"(?iu)(?<![{WORD}]){words}(?![{WORD}])", "")
     t = F.regexp_replace(t, r"(?U)\s+", " ")
     t = F.regexp_replace(t, r"^[ \-|,]+|[ \-|,]+$", "")
-    t = F.substring(t, 1, fv.COUNTERPARTY_LENGTH)
+    t = F.substring(t, 1, length) if length else t
     return F.coalesce(F.nullif(t, F.lit("")), F.lit(fv.UNKNOWN))

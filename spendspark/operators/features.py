@@ -146,9 +146,3 @@ def build_features(
         .withColumn("recency_days", _recency(gap))
         .select(F.col(id_col).alias("transaction_id"), *fv.FEATURE_COLUMNS)
     )
-
-
-def days_in_month(year: int, month: int) -> int:
-    """Length of a month."""
-    leap = year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
-    return 28 + leap if month == 2 else 30 if month in (4, 6, 9, 11) else 31

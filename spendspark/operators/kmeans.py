@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import column_distance, literal_vector, squared_distance
+from ..runtime import durable
 from .silhouette import silhouettes
 
+START_SAMPLE = 5_000
+STEP_ROWS = 2_048
+
 
 @dataclass(frozen=True)
 class Fit:
@@ -22,42 +25,129 @@ class Fit:
     centers: tuple[tuple[float, ...], ...]
 
 
+@dataclass(frozen=True)
+class Start:
+    """First centers of one fit, and the column that says how many rows a vector stands for."""
+
+    weight: str
+    centers: np.ndarray
+
+
+def spread_centers(sample: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k centers drawn from a sample, each by its squared distance from those before."""
+    chosen = [sample[rng.choice(len(sample), p=weight / weight.sum())]]
+    near = ((sample - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        odds = near * weight
+        odds = odds / odds.sum() if odds.sum() > 0 else weight / weight.sum()
+        chosen.append(sample[rng.choice(len(sample), p=odds)])
+        near = np.minimum(near, ((sample - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def _moments(vectors: DataFrame, columns: Sequence[str], starts: dict[int, Start]) -> dict:
+    """(start, cluster) -> (weight, sums, cost) at the given centers: one pass for all starts."""
+    known = vectors.sparkSession.sparkContext.broadcast(
+        [(i, s.weight, s.centers) for i, s in starts.items()])
+    names = list(columns)
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for whole in batches:
+            for lo in range(0, len(whole), STEP_ROWS):
+                part = whole.iloc[lo:lo + STEP_ROWS]
+                x = part[names].to_numpy(float)
+                for i, weight, centers in known.value:
+                    w = part[weight].to_numpy(float)
+                    far = sum((x[:, j, None] - centers[None, :, j]) ** 2 for j in range(x.shape[1]))
+                    own = far.argmin(axis=1)
+                    cost = far[np.arange(len(x)), own]
+                    for c in range(len(centers)):
+                        mine = w * (own == c)
+                        row = np.concatenate([[mine.sum(), mine @ cost], mine @ x])
+                        total[i, c] = total.get((i, c), 0) + row
+        yield pd.DataFrame([(i, c, *row) for (i, c), row in total.items()], columns=out)
+
+    out = ["start", "cluster", "w", "cost", *[f"s{j}" for j in range(len(names))]]
+    sums = (vectors.mapInPandas(step, "start int, cluster int, " + ", ".join(
+        f"{c} double" for c in out[2:])).groupBy("start", "cluster").agg(
+        *[F.sum(c).alias(c) for c in out[2:]]).collect())
+    return {(r["start"], r["cluster"]): (r["w"], np.array(r[4:]), r["cost"]) for r in sums}
+
+
+def run_starts(
+    vectors: DataFrame, columns: Sequence[str], starts: Sequence[Start], max_iter: int = 300,
+    tolerance: float = 1e-4,
+) -> list[Fit]:
+    """Move the centers of all starts over the same weighted vectors until they rest.
+
+    Every pass serves all starts that still move, so their number costs no more jobs; the
+    driver sees a row per start and cluster.
+    """
+    now = dict(enumerate(starts))
+    moving = set(now)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        sums = _moments(vectors, columns, {i: now[i] for i in moving})
+        for i in sorted(moving):
+            old = now[i].centers
+            new = np.array([sums[i, c][1] / sums[i, c][0] if (i, c) in sums and sums[i, c][0] > 0
+                            else old[c] for c in range(len(old))])
+            now[i] = Start(now[i].weight, new)
+            if ((new - old) ** 2).sum(axis=1).max() <= tolerance ** 2:
+                moving.discard(i)
+    last = _moments(vectors, columns, now)
+    return [Fit(len(s.centers), float(sum(last[i, c][2] for c in range(len(s.centers))
+                                          if (i, c) in last)),
+                tuple(sorted(tuple(float(v) for v in c) for c in s.centers)))
+            for i, s in now.items()]
+
+
+def draw_starts(
+    vectors: DataFrame, columns: Sequence[str], tasks: Sequence[tuple[int, str, int]],
+) -> list[Start]:
+    """A start for each (k, weight column, seed), from ``START_SAMPLE`` vectors at most, the
+    first by a hash of their values."""
+    weights = sorted({w for _, w, _ in tasks})
+    rows = vectors.orderBy(F.xxhash64(*columns), *columns).limit(START_SAMPLE).select(
+        *columns, *weights).toPandas()
+    x = rows[list(columns)].to_numpy(float)
+    starts = []
+    for k, weight, seed in tasks:
+        w = rows[weight].to_numpy(float)
+        starts.append(Start(weight, spread_centers(
+            x, w if w.sum() > 0 else np.ones(len(w)), k, np.random.default_rng([seed, k]))))
+    return starts
+
+
+def best_fits(tasks: Sequence[tuple], fits: Sequence[Fit]) -> dict:
+    """The cheapest fit for each first element of ``tasks``; the earlier one of equals."""
+    best: dict = {}
+    for (key, *_), f in zip(tasks, fits):
+        if key not in best or f.cost < best[key].cost:
+            best[key] = f
+    return best
+
+
 def fit_many(
-    scaled: DataFrame, columns: Sequence[str], ks: Sequence[int], n_init: int = 5,
-    seed: int = 42, max_iter: int = 300, parallel: int = 4,
+    scaled: DataFrame, columns: Sequence[str], ks: Sequence[int], n_init: int = 25,
+    seed: int = 42, max_iter: int = 300,
 ) -> dict[int, Fit]:
-    """Per k the lowest-cost fit of ``n_init`` seeds, over one cached set of vectors.
+    """Per k the lowest-cost fit of ``n_init`` starts, all moved together.
 
     Equal rows become one weighted vector first: features hang on merchant and amount, so
-    this shrinks a large ledger many times before the passes of all fits. Fits are
-    independent jobs, so a few run at a time. Centers come back sorted, so cluster numbers
-    do not depend on seed or partitioning.
+    this shrinks a large ledger many times before the passes. Centers come back sorted, so
+    cluster numbers do not depend on seed or partitioning.
     """
-    weighted = scaled.groupBy(*columns).agg(F.count("*").cast("double").alias("weight"))
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(
-        weighted).select("features", "weight").persist()
-    vectors.count()
-
-    def fit(task: tuple[int, int]) -> Fit:
-        k, i = task
-        model = KMeans(
-            k=k, seed=seed + i, maxIter=max_iter, weightCol="weight").fit(vectors)
-        centers = sorted(tuple(float(v) for v in c) for c in model.clusterCenters())
-        return Fit(k, float(model.summary.trainingCost), tuple(centers))
-
-    tasks = [(k, i) for k in ks for i in range(n_init)]
-    with ThreadPoolExecutor(parallel) as pool:
-        fits = list(pool.map(fit, tasks))
-    vectors.unpersist()
-    best: dict[int, Fit] = {}
-    for (k, _), f in zip(tasks, fits):
-        if k not in best or f.cost < best[k].cost:
-            best[k] = f
-    return best
+    vectors = durable(scaled.groupBy(*columns).agg(F.count("*").cast("double").alias("weight")))
+    tasks = [(k, "weight", seed + i) for k in ks for i in range(n_init)]
+    fits = run_starts(vectors, columns, draw_starts(vectors, columns, tasks), max_iter)
+    return best_fits(tasks, fits)
 
 
 def fit_kmeans(
-    scaled: DataFrame, columns: Sequence[str], k: int, n_init: int = 5, seed: int = 42,
+    scaled: DataFrame, columns: Sequence[str], k: int, n_init: int = 25, seed: int = 42,
     max_iter: int = 300,
 ) -> Fit:
     return fit_many(scaled, columns, [k], n_init, seed, max_iter)[k]
@@ -96,10 +186,9 @@ def assign_vectors(
 
 def sweep_k(
     scaled: DataFrame, columns: Sequence[str], k_min: int = 2, k_max: int = 8,
-    n_init: int = 5, seed: int = 42, max_iter: int = 300,
-    exact_limit: int | None = 50_000, anchors: int = 2_000,
+    n_init: int = 25, seed: int = 42, max_iter: int = 300, method: str = "squared",
 ) -> tuple[Fit, list[dict]]:
-    """Fit every k, score all labelings over one set of distances, keep the best.
+    """Fit every k, score all labelings by the silhouette of ``method``, keep the best.
 
     Returns the chosen fit and one dict per k (k, inertia, silhouette). The smallest k
     wins a tie; labelings with a single used cluster score -1.
@@ -109,7 +198,7 @@ def sweep_k(
     labelled = scaled.select(*columns)
     for k, fit in fits.items():
         labelled = assign_columns(labelled, columns, fit.centers, f"k{k}", None)
-    scores = silhouettes(labelled, columns, [f"k{k}" for k in fits], exact_limit, anchors)
+    scores = silhouettes(labelled, columns, [f"k{k}" for k in fits], method)
     sweep = [
         {"k": k, "inertia": fit.cost,
          "silhouette": s["silhouette"] if s["silhouette"] is not None else -1.0}

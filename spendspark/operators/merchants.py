@@ -190,7 +190,7 @@ def apply_mapping(
     """Replace each name by its canonical one."""
     changed = mapping.select(F.col("name").alias(name), "canonical")
     return (
-        rows.join(broadcast_if_small(changed), name, "left")
+        rows.join(broadcast_if_small(durable(changed)), name, "left")
         .withColumn(name, F.coalesce("canonical", name))
         .drop("canonical")
     )

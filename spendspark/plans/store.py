@@ -67,10 +67,11 @@ class LedgerStore:
         return n
 
     def add_unparsed(self, unparsed: DataFrame, created_at, batch: str) -> None:
-        """A batch's unparsed rows; writing a batch again replaces it."""
-        rows = unparsed.withColumns({
-            "created_at": F.lit(created_at).cast("timestamp"), "batch": F.lit(batch)})
-        self.append("unparsed", rows, mode="overwrite")
+        """Append unparsed rows that are not listed yet; listed ones never go."""
+        keys = ["source_file", "raw_line", "reason"]
+        fresh = unparsed.join(self.read("unparsed").select(*keys).distinct(), keys, "left_anti")
+        self.append("unparsed", fresh.withColumns({
+            "created_at": F.lit(created_at).cast("timestamp"), "batch": F.lit(batch)}))
 
     # --- runs --------------------------------------------------------------------
     def write_run(
@@ -82,7 +83,7 @@ class LedgerStore:
         for table, df in (("clusters", clusters), ("assignments", assignments),
                           ("insights", insights)):
             self.append(table, df, mode="overwrite")
-        self.append("runs", run)
+        self.append("runs", run.join(self.read("runs").select("id"), "id", "left_anti"))
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, key: str = "dedup_key") -> DataFrame:

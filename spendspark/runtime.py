@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from tempfile import mkdtemp
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20
+
+_job_folder: ContextVar[str | None] = ContextVar("job_folder", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,34 +26,49 @@ def shared_dir(spark: SparkSession) -> str:
     if known is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        known = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        known = mkdtemp(prefix="run-", dir="/tmp")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
     return known
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/spendspark-{name}-{uuid.uuid4().hex}"
+    folder = _job_folder.get() or shared_dir(spark).rstrip("/")
+    return f"{folder}/spendspark-{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[None]:
+    """What ``durable`` writes inside goes when the job ends, however it ends."""
+    path = scratch_path(spark, "job")
+    token = _job_folder.set(path)
+    try:
+        yield
+    finally:
+        _job_folder.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read on from there.
+    """Write ``df`` as Parquet to the shared folder and read on from there.
 
     Iterative jobs would otherwise replay their whole history after an executor loss.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` when it has at most ``max_rows`` rows.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` when its rows, written out, have at most ``max_bytes``.
 
     Above that it comes back unhinted, and the join shuffles, with the adaptive
-    planner splitting hot keys.
+    planner splitting hot keys. ``df`` is read once more for this: pass stored rows.
     """
-    kept = df.persist()
-    small = kept.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(kept) if small else kept
+    text = F.to_json(F.struct("*"))
+    size = df.agg(F.sum(F.octet_length(text) + F.lit(16))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -33,7 +33,8 @@ RUNS = """
         chosen_k: int,
         pca_explained_variance: array<double>,
         feature_columns: array<string>,
-        n_anomalies: bigint>,
+        n_anomalies: bigint,
+        silhouette_method: string>,
     scaler_mean array<double>, scaler_std array<double>
 """
 

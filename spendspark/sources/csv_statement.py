@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.dates import blanks, parse_date
 from ..functions.money import infer_direction, parse_amount
-from ..runtime import broadcast_if_small, compute_once
+from ..runtime import broadcast_if_small, compute_once, durable
 
 # one cell after its comma: quoted (with doubled quotes inside) or bare
 CELL = r',("(?:[^"]|"")*"[^,]*|[^,]*)'
@@ -134,7 +134,7 @@ def records_of_lines(lines: DataFrame, quoted_breaks: bool | None = None) -> Dat
         if broken.isEmpty():
             records = lines
         else:
-            broken = broadcast_if_small(broken)
+            broken = broadcast_if_small(durable(broken))
             records = lines.join(broken, "source_file", "left_anti").unionByName(
                 join_broken_records(lines.join(broken, "source_file", "left_semi")))
     else:
@@ -187,7 +187,7 @@ def list_files(spark: SparkSession, path: str | list[str], glob: str = "*") -> D
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(path)
-        .inputFiles()
+        .inputFiles()  # a scan of the same would leave empty files out
     )
     return spark.createDataFrame([(n,) for n in names], "source_file string").select(
         same_path(F.col("source_file")).alias("source_file"))
@@ -197,7 +197,7 @@ def name_fields(records: DataFrame, headers: DataFrame, source_app: str = "state
     """Data rows below each header, as raw text fields plus their ``k=v`` line."""
     mapped = map_header(headers).filter(
         " and ".join(f"{f}_at is not null" for f in fv.REQUIRED_FIELDS))
-    rows = records.join(broadcast_if_small(mapped), "source_file").filter(
+    rows = records.join(mapped, "source_file").filter(
         (F.struct("part_no", "row_no") > F.col("header_at"))
         & F.exists("cells", lambda c: F.length(F.trim(c)) > 0)
     )
@@ -284,13 +284,24 @@ def read_csv_statements(
     source_app: str = "statement",
     quoted_breaks: bool | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(ledger rows, unparsed rows) of all CSV statements under ``path``."""
-    records = scan_records(spark, path, glob, quoted_breaks)
-    headers = find_headers(records).persist()
-    parsed = parse_fields(name_fields(records, headers, source_app))
-    unparsed = bad_rows(parsed).unionByName(
-        file_failures(headers, list_files(spark, path, glob)))
-    return good_rows(parsed), unparsed
+    """(ledger rows, unparsed rows) of all CSV statements under ``path``.
+
+    The files are read once, into a table of lines: places of headers and of rows come from
+    the same splits, and files that arrive meanwhile wait for the next call.
+    """
+    return rows_of_lines(durable(read_lines(spark, path, glob)), list_files(spark, path, glob),
+                         source_app, quoted_breaks)
+
+
+def rows_of_lines(
+    lines: DataFrame, files: DataFrame, source_app: str = "statement",
+    quoted_breaks: bool | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(ledger rows, unparsed rows) of stored lines; ``files`` names those that must show up."""
+    records = records_of_lines(lines, quoted_breaks)
+    headers = durable(find_headers(records))
+    parsed = durable(parse_fields(name_fields(records, headers, source_app)))
+    return good_rows(parsed), bad_rows(parsed).unionByName(file_failures(headers, files))
 
 
 def parse_stats(parsed: DataFrame, unparsed: DataFrame) -> DataFrame:

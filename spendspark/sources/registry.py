@@ -10,21 +10,38 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.dates import any_of
-from .csv_statement import list_files, read_lines
+from .csv_statement import list_files, read_csv_statements, read_lines
+
+
+Reader = Callable[[SparkSession, "str | list[str]", str], tuple[DataFrame, DataFrame]]
 
 
 @dataclass(frozen=True)
 class Adapter:
-    """A reader's name and its test on (lower-case file name, lower-case first line)."""
+    """A reader's name, its test on (lower-case file name, lower-case first line), and what
+    reads all its files under a path to (rows, unparsed rows).
+
+    Without ``read`` the files are only named; ingest lists them as unparsed.
+    """
 
     name: str
     recognises: Callable[[Column, Column], Column]
+    read: Reader | None = None
+    glob: str = "*"
+
+
+CSV_GLOB = "*.[cC][sS][vV]"
+
+
+def read_csv(spark: SparkSession, path: str | list[str], source_app: str) -> tuple[DataFrame, DataFrame]:
+    return read_csv_statements(spark, path, CSV_GLOB, source_app)
 
 
 CSV = Adapter(
     "csv",
     lambda path, line: path.endswith(".csv")
     & any_of([F.coalesce(line, F.lit("")).contains(w) for w in fv.SNIFF_WORDS]),
+    read_csv, CSV_GLOB,
 )
 PDF = Adapter("pdf", lambda path, line: path.endswith(".pdf"))
 ADAPTERS = [CSV, PDF]

@@ -1,7 +1,7 @@
 """File-stream ingest: new statement files become ledger rows as they arrive.
 
 Each micro-batch goes through the batch job. No state is kept in the stream: the stored
-keys make a replayed batch insert nothing, and its unparsed rows replace themselves.
+keys make a replayed batch insert nothing, its unparsed rows are there already.
 """
 
 from __future__ import annotations
@@ -11,10 +11,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..plans.ingest import ingest_rows
 from ..plans.store import LedgerStore
-from ..sources.csv_statement import (
-    bad_rows, file_failures, find_headers, good_rows, name_fields, number_lines,
-    parse_fields, records_of_lines, with_split,
-)
+from ..runtime import durable, job_folder
+from ..sources.csv_statement import number_lines, rows_of_lines, with_split
 
 
 def statement_lines(spark: SparkSession, path: str, glob: str = "*.csv", max_files: int = 1000) -> DataFrame:
@@ -34,15 +32,13 @@ def ingest_stream(
     """Start a run over all files that are new since the last one (``availableNow``)."""
 
     def store_batch(lines: DataFrame, batch_id: int) -> None:
-        lines = number_lines(lines).persist()
-        records = records_of_lines(lines)
-        headers = find_headers(records).persist()
-        parsed = parse_fields(name_fields(records, headers, source_app)).persist()
-        files = lines.select("source_file").distinct()
-        unparsed = bad_rows(parsed).unionByName(file_failures(headers, files))
-        ingest_rows(store, good_rows(parsed), unparsed, f"stream-{batch_id}", **clean_args)
-        for df in (lines, headers, parsed):
-            df.unpersist()
+        # the query's id is kept beside its checkpoint, so no other stream has it
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        with job_folder(spark):
+            lines = durable(number_lines(lines))
+            files = lines.select("source_file").distinct()
+            rows, unparsed = rows_of_lines(lines, files, source_app)
+            ingest_rows(store, rows, unparsed, f"stream-{stream}-{batch_id}", **clean_args)
 
     return (
         statement_lines(spark, path, max_files=max_files)

@@ -1,84 +1,94 @@
+"""Features of small ledgers whose values are counted by hand."""
+
 from __future__ import annotations
 
 import math
-import random
 from datetime import datetime, timedelta
 
-import numpy as np
-import pandas as pd
 import pytest
 
 from spendspark.functions import fixed_values as fv
 from spendspark.operators import features as ops
 
+SCHEMA = "id string, txn_date timestamp, amount double, txn_kind string, counterparty_normalized string"
+MONDAY = datetime(2024, 4, 1)
+FIRST = 1.0  # recency of a merchant's first row: as long ago as can be
+
 
-def rows(seed=0, n=400, days=200):
-    rng = random.Random(seed)
-    start = datetime(2024, 1, 1)
-    out = []
-    for i in range(n):
-        ts = start + timedelta(seconds=rng.choice([rng.randint(0, days * 86400), rng.randint(0, 20) * 43200]))
-        out.append((f"id{i:04d}", ts, round(rng.uniform(0, 500), 2), "spend", f"M{rng.randint(0, 12)}"))
-    for m, step, amount in (("WEEKLY", 7, 99.0), ("MONTHLY", 30, 649.0), ("YEARLY", 365, 10.0), ("ODD", 17, 5.0)):
-        out += [(f"{m}{i}", start + timedelta(days=step * i, hours=9), amount, "spend", m) for i in range(5)]
-    out += [("z1", start, 0.0, "spend", "ZERO"), ("z2", start, 0.0, "spend", "ZERO"),
-            ("inc", start, 5.0, "income", "M1")]
-    return out
+def ago(days):
+    return math.log(1 + days) / math.log(10_000)
 
 
-SCHEMA = "id string, txn_date timestamp, amount double, txn_kind string, counterparty_normalized string"
+@pytest.fixture
+def ledger(spark):
+    def make(days_by_payee, amounts=None, hour=8):
+        rows = []
+        for payee, days in days_by_payee.items():
+            paid = (amounts or {}).get(payee, [10.0] * len(days))
+            rows += [(f"{payee}-{i}", MONDAY + timedelta(days=d, hours=hour), a, "spend", payee)
+                     for i, (d, a) in enumerate(zip(days, paid))]
+        return spark.createDataFrame(rows, SCHEMA)
+    return make
+
+
+def column(df, name):
+    return {r["transaction_id"]: r[name] for r in ops.build_features(df).collect()}
+
+
+@pytest.mark.parametrize("days, flag", [
+    ([0, 7, 14], 1.0),            # each week
+    ([0, 30, 60, 90], 1.0),       # each month
+    ([0, 365, 730], 1.0),         # each year
+    ([0, 8, 15, 23], 1.0),        # nearly each week
+    ([0, 7], 0.0),                # two rows show no rhythm
+    ([0, 0, 0, 7], 0.0),          # one gap only, the rest on one day
+    ([0, 17, 34, 51], 0.0),       # even, but no known rhythm
+    ([0, 2, 14, 16, 28], 0.0),    # a week on average, but uneven
+    ([0, 9, 18], 1.0),            # within three tenths of a week
+    ([0, 10, 20], 0.0),           # beyond
+])
+def test_rhythm_of_a_payee(ledger, days, flag):
+    assert set(column(ledger({"P": days, "OTHER": [1, 5]}), "is_recurring").values()) <= {flag, 0.0}
+    assert column(ledger({"P": days}), "is_recurring")["P-0"] == flag
+
+
+def test_recency_counts_whole_days(ledger):
+    got = column(ledger({"P": [0, 3, 3, 40], "Q": [2]}), "recency_days")
+    assert got == pytest.approx({"P-0": FIRST, "P-1": ago(3), "P-2": 0.0, "P-3": ago(37), "Q-0": FIRST})
+
+
+def test_almost_a_day_is_none(spark):
+    rows = [("x", MONDAY, 1.0, "spend", "P"), ("y", MONDAY + timedelta(hours=23, minutes=59), 1.0, "spend", "P"),
+            ("z", MONDAY + timedelta(hours=48), 1.0, "spend", "P")]
+    got = column(spark.createDataFrame(rows, SCHEMA), "recency_days")
+    assert got == pytest.approx({"x": FIRST, "y": 0.0, "z": ago(1)})
+
+
+def test_frequency_and_stability(ledger):
+    df = ledger({"EVEN": [0, 1, 2], "MIXED": [0, 1], "NIL": [0, 4], "WILD": [0, 1, 2, 3, 4]},
+                {"EVEN": [9.0] * 3, "MIXED": [10.0, 30.0], "NIL": [0.0, 0.0], "WILD": [0.0, 0.0, 0.0, 0.0, 100.0]})
+    n = column(df, "merchant_frequency")
+    assert n["EVEN-0"] == pytest.approx(math.log(4)) and n["WILD-4"] == pytest.approx(math.log(6))
+    stable = column(df, "amount_stability")
+    # deviations over means: 0, 10 / 20, none of a mean of zero, 40 / 20
+    assert [stable[k] for k in ("EVEN-1", "MIXED-0", "NIL-0", "WILD-0")] == pytest.approx([1.0, 0.5, 1.0, 0.0])
+
+
+def test_calendar(ledger):
+    df = ledger({"P": [0, 2, 29, -32]}, {"P": [0.0, math.e - 1, 5.0, 1.0]})
+    rows = {r["transaction_id"]: r for r in ops.build_features(df).collect()}
+    assert set(next(iter(rows.values())).asDict()) == {"transaction_id", *fv.FEATURE_COLUMNS}
+    assert (rows["P-0"]["log_amount"], rows["P-1"]["log_amount"]) == pytest.approx((0.0, 1.0))
+    # Monday, Wednesday; first and last of April, last of February of a leap year
+    assert (rows["P-0"]["dow_sin"], rows["P-0"]["dow_cos"]) == pytest.approx((0.0, 1.0))
+    assert rows["P-1"]["dow_sin"] == pytest.approx(math.sin(4 * math.pi / 7))
+    assert [rows[f"P-{i}"]["day_of_month_norm"] for i in (0, 2, 3)] == pytest.approx([1 / 30, 1.0, 29 / 29])
 
 
-def expected(data):
-    df = pd.DataFrame(data, columns=["id", "ts", "amount", "kind", "m"])
-    df = df[df.kind == "spend"].sort_values(["m", "ts", "id"]).reset_index(drop=True)
-    gap = df.groupby("m").ts.diff().dt.days
-    df["rec"] = np.log1p(gap.fillna(9999).clip(upper=9999)) / np.log1p(9999)
-    g = df.groupby("m")
-    df["freq"] = np.log1p(g.amount.transform("count"))
-    mean, std = g.amount.transform("mean"), g.amount.transform(lambda s: s.std(ddof=0))
-    df["stab"] = np.where(mean == 0, 1.0, np.clip(1 - std / mean.where(mean != 0, 1), 0, 1))
-
-    def recurring(ts):
-        gaps = ts.sort_values().diff().dropna().dt.days.to_numpy()
-        gaps = gaps[gaps > 0]
-        if len(ts) < 3 or len(gaps) < 2 or gaps.std() / gaps.mean() > 0.25:
-            return 0.0
-        return float(any(abs(gaps.mean() - p) <= 0.3 * p for p in (7, 30, 365)))
-
-    df["recur"] = df.m.map(g.ts.apply(recurring))
-    return df.set_index("id")
-
-
-@pytest.mark.parametrize("seed", [0, 1])
-def test_build_features_against_pandas(spark, seed):
-    data = rows(seed)
-    want = expected(data)
-    got = ops.build_features(spark.createDataFrame(data, SCHEMA).repartition(5)).toPandas().set_index("transaction_id")
-    assert set(got.index) == set(want.index) and list(got.columns) == fv.FEATURE_COLUMNS
-    want = want.loc[got.index]
-    for a, b in (("recency_days", "rec"), ("merchant_frequency", "freq"), ("amount_stability", "stab"),
-                 ("is_recurring", "recur")):
-        np.testing.assert_allclose(got[a], want[b], atol=1e-9, err_msg=a)
-    np.testing.assert_allclose(got.log_amount, np.log1p(want.amount))
-    dow = want.ts.dt.dayofweek
-    np.testing.assert_allclose(got.dow_sin, np.sin(2 * math.pi * dow / 7), atol=1e-12)
-    np.testing.assert_allclose(got.dow_cos, np.cos(2 * math.pi * dow / 7), atol=1e-12)
-    np.testing.assert_allclose(got.day_of_month_norm, want.ts.dt.day / want.ts.dt.days_in_month)
-    assert {m: r for m, r in zip(want.m, got.is_recurring) if not m.startswith("M") or m == "MONTHLY"} == {
-        "WEEKLY": 1.0, "MONTHLY": 1.0, "YEARLY": 1.0, "ODD": 0.0, "ZERO": 0.0}
-
-
-def test_recency_and_profile(spark):
-    data = rows(2)
-    df = spark.createDataFrame(data, SCHEMA).filter("txn_kind = 'spend'")
-    want = expected(data)
-    got = ops.recency(df).toPandas().set_index("id").loc[want.index]
-    np.testing.assert_allclose(got.recency_days, want.rec)
-    profile = ops.merchant_profile(df).toPandas().set_index("counterparty_normalized")
-    per = want.groupby("m").first()
-    np.testing.assert_allclose(profile.amount_stability.loc[per.index], per.stab, atol=1e-9)
-    assert profile.n_transactions.loc["WEEKLY"] == 5
+def test_other_kinds_are_left_out(spark, ledger):
+    income = spark.createDataFrame([("in", MONDAY, 5.0, "income", "P")], SCHEMA)
+    assert set(column(ledger({"P": [0, 7]}).unionByName(income), "merchant_frequency")) == {"P-0", "P-1"}
+    assert ops.build_features(ledger({"P": [0]}).limit(0)).count() == 0
 
 
 def test_same_instant_ties_go_by_id(spark):
@@ -88,7 +98,6 @@ def test_same_instant_ties_go_by_id(spark):
     assert got == {"a": None, "b": 0, "c": 3}
 
 
-def test_empty_and_days_in_month(spark):
-    assert ops.build_features(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert [ops.days_in_month(y, m) for y, m in ((2024, 2), (2023, 2), (1900, 2), (2000, 2), (2024, 4), (2024, 12))] == [
-        29, 28, 28, 29, 30, 31]
+def test_profile_counts_rows(ledger):
+    profile = {r["counterparty_normalized"]: r for r in ops.merchant_profile(ledger({"P": [0, 7, 14], "Q": [1]})).collect()}
+    assert profile["P"]["n_transactions"] == 3 and profile["Q"]["amount_stability"] == 1.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,33 +21,35 @@ from spendspark.plans.clean import clean_ledger
 from spendspark.streaming.ingest_stream import ingest_stream
 from spendspark.streaming.score_stream import score_stream
 
-QUICK = Tunables(k_max=4, n_init=1, stability_seeds=2, stability_n_init=1)
+QUICK = Tunables(k_max=4, n_init=4, stability_seeds=3, stability_n_init=2)
 
 
-def statement(months=6):
-    """Subscriptions, small daily buys, large one-offs, own transfers and a salary."""
-    start, n, lines = datetime(2024, 1, 1), 0, ["Statement for account,,", "Date,Time,Transaction Details,Type,Amount,UTR"]
+ORDERS = "/root/testdata/sf0.001"
+ODD_ID = "N-odd"
 
-    def add(ts, details, kind, amount):
-        nonlocal n
-        n += 1
-        lines.append(f'"{ts:%b %d, %Y}",{ts:%I:%M %p},{details},{kind},{amount:.2f},UTR{n}')
 
-    for d in range(30 * months):
-        ts = start + timedelta(days=d, hours=9 + d % 9)
-        if d % 3:
-            add(ts, f"Paid to {['Chai Point', 'Local Kirana', 'Amul Parlour'][d % 7 % 3]}", "DEBIT", 20 + d * 37 % 100)
-        if d % 30 == 4:
-            add(ts, "Paid to Netflix", "DEBIT", 649)
-            add(ts, "Paid to Jio Recharge", "DEBIT", 299)
-        if d % 17 == 5:
-            add(ts, f"Paid to {['MakeMyTrip', 'Croma Electronics'][d % 2]}", "DEBIT", 4000 + d * 91)
-        if d % 30 == 10:
-            add(ts, "Paid to Self Account", "DEBIT", 5000 + d)
-            add(ts + timedelta(hours=2), "Received from Self Account", "CREDIT", 5000 + d)
-            add(ts, "Received from ACME Payroll", "CREDIT", 65000)
-    add(start + timedelta(days=45), "Paid to Chai Point", "DEBIT", 3500)
-    return "\n".join(lines) + "\nbad row,,x,DEBIT,1,U\n", n
+def statement(share=1, salt=0):
+    """A statement of the given orders: every ``share``-th one, its clerk's part as the payee.
+
+    One payee gets small even amounts and, once, one that is far too large.
+    """
+    con = duckdb.connect()
+    rows = con.execute(f"""
+        SELECT o_orderkey, p_name, o_totalprice, o_orderkey % 9 FROM '{ORDERS}/orders.parquet'
+        JOIN '{ORDERS}/part.parquet' ON p_partkey = o_orderkey % 200
+        WHERE o_orderkey % {share} = 0 AND o_orderkey < 900 ORDER BY 1""").fetchall()
+    lines = ["Exported on request,,", "Date,Time,Transaction Details,Type,Amount,UTR"]
+    for key, part, price, which in rows:
+        day = datetime(2023, 2, 1) + timedelta(days=key // 5, minutes=7 * key % 1440)
+        kind, payee = ("CREDIT", "Received from Harbour Works") if which == 8 else ("DEBIT", f"Paid to {part} store")
+        if which < 3:
+            payee, price = "Paid to corner newsagent", 1500 + 100 * (key % 7)
+        lines.append(f"{day:%Y-%m-%d},{day:%H:%M:%S},{payee},{kind},{price / 50:.2f},N{salt}-{key}")
+    lines.append(f"2023-03-03,10:00:00,Paid to corner newsagent,DEBIT,9100.00,{ODD_ID}{salt}")
+    # money that goes out and comes back the same hour
+    lines.append(f"2023-04-04,10:00:00,Paid to savings,DEBIT,777.77,N{salt}-out")
+    lines.append(f"2023-04-04,10:40:00,Received from savings,CREDIT,777.77,N{salt}-in")
+    return "\n".join(lines) + "\nno day,,x,DEBIT,1,N\n", len(rows) + 3
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +60,8 @@ def ingested(spark, tmp_path_factory):
     text, n = statement()
     (files / "s.csv").write_text(text)
     store = LedgerStore(spark, str(root / "store"))
+    (files / "scan.PDF").write_bytes(b"%PDF-")
+    (files / "notes.txt").write_text("hello")
     first = ingest_path(spark, store, str(files), batch="b1")
     return root, store, n, first
 
@@ -73,11 +78,53 @@ def test_reader_and_kinds(spark, ingested):
 
 def test_ingest_twice_is_once(spark, ingested):
     root, store, n, first = ingested
-    assert (first["parsed"], first["unparsed"], first["inserted"]) == (n, 1, n)
-    assert first["parse_rate"] == round(n / (n + 1), 4)
+    assert (first["parsed"], first["unparsed"], first["inserted"]) == (n, 3, n)
+    assert first["parse_rate"] == round(n / (n + 3), 4)
     again = ingest_path(spark, store, str(root / "files"), batch="b1")
     assert (again["inserted"], again["duplicates_skipped"]) == (0, n)
-    assert store.read("transactions").count() == n and store.read("unparsed").count() == 1
+    assert store.read("transactions").count() == n and store.read("unparsed").count() == 3
+    reasons = {r["source_file"].rsplit("/", 1)[1]: r["reason"] for r in store.read("unparsed").collect()}
+    assert set(reasons) == {"s.csv", "scan.PDF", "notes.txt"} and reasons["scan.PDF"] == "No reader for pdf files"
+
+
+def test_file_added_in_the_same_session(spark, tmp_path):
+    files, store = tmp_path / "in", LedgerStore(spark, str(tmp_path / "store"))
+    files.mkdir()
+    head = "Date,Type,Amount,Details\n"
+    (files / "a.csv").write_text(head + "2024-09-01,dr,5,Shop A\nbroken,dr,1,x\n")
+    assert ingest_path(spark, store, str(files), fuzzy_threshold=None)["inserted"] == 1
+    (files / "b.csv").write_text("a note\n" + head + "".join(f"2024-09-{d:02d},dr,{d},Shop B\n" for d in range(2, 9)))
+    again = ingest_path(spark, store, str(files), fuzzy_threshold=None)
+    assert (again["inserted"], again["duplicates_skipped"]) == (7, 1)
+    (files / "a.csv").unlink()
+    (files / "c.csv").write_text("Date,Type,Amount,Details\nalso broken,dr,1,x\n")
+    assert ingest_path(spark, store, str(files), fuzzy_threshold=None)["inserted"] == 0
+    assert sorted(r["raw_line"].split("|")[0].strip() for r in store.read("unparsed").collect()) == [
+        "Date=also broken", "Date=broken"]
+
+
+def test_split_sizes_do_not_matter(spark, tmp_path):
+    head = "Date,Type,Amount,Details\n"
+    (tmp_path / "a.csv").write_text("preamble\n" * 30 + head + "".join(f"2024-09-01,dr,{i + 1},Shop\n" for i in range(500)))
+    (tmp_path / "b.csv").write_text(head + "".join(f"2024-09-02,dr,{i + 1},Shop\n" for i in range(5)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300b", "2k", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows, unparsed = read_csv_statements(spark, str(tmp_path))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+            assert (rows.count(), unparsed.count()) == (505, 0)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_repeated_run_is_one(spark, tmp_path, ingested):
+    _, filled, _, _ = ingested
+    run = recluster(filled.read("transactions"), QUICK, run_id="same", created_at=datetime(2024, 7, 1))
+    store = LedgerStore(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        store.write_run(run.run, run.clusters, run.assignments, run.insights, run.features)
+    assert store.read("runs").count() == 1 and run.run.first()["metrics"]["silhouette_method"] == "squared"
 
 
 def test_recluster_store_and_reads(spark, ingested):
@@ -93,7 +140,7 @@ def test_recluster_store_and_reads(spark, ingested):
     assert store.read("clusters").agg(F.sum("n_transactions")).first()[0] == spend.count()
     assert 1 <= reads.list_insights(store.read("runs"), store.read("insights")).count() <= 8
     odd = reads.in_cluster(store.read("transactions"), store.read("runs"), store.read("assignments"), is_anomaly=True)
-    assert odd.filter("amount = 3500").count() == 1
+    assert odd.filter("amount = 9100").count() == 1
     run = store.read("runs").first()
     assert run["metrics"]["chosen_k"] == result["k"] and len(run["metrics"]["k_sweep"]) == 3
     recluster_store(store, QUICK, run_id="run-2", created_at=datetime(2024, 8, 1))
@@ -128,7 +175,7 @@ def test_too_few_rows(spark, ingested):
 def test_ingest_stream(spark, tmp_path):
     files, store = tmp_path / "in", LedgerStore(spark, str(tmp_path / "store"))
     files.mkdir()
-    text, n = statement(2)
+    text, n = statement(4)
     (files / "a.csv").write_text(text)
 
     def run():
@@ -143,6 +190,12 @@ def test_ingest_stream(spark, tmp_path):
     run()
     assert store.read("transactions").count() == n + 1
     assert store.read("unparsed").count() == 2
+    # a second stream into the same store
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "d.csv").write_text("Date,Type,Amount,Details\nnever,dr,5,New Shop\n")
+    ingest_stream(spark, store, str(other), str(tmp_path / "cp2"), fuzzy_threshold=None).awaitTermination()
+    assert store.read("unparsed").count() == 3
 
 
 def test_score_stream(spark, ingested, tmp_path):

@@ -65,17 +65,25 @@ def test_silhouettes_exact(spark, monkeypatch, block):
     assert got[0]["silhouette"] == pytest.approx(brute_silhouette(x, y).mean())
     assert got[1]["silhouette"] == pytest.approx(brute_silhouette(x, other).mean())
     assert got[2]["silhouette"] is None
-    assert all(g["exact"] and g["std_error"] == 0 for g in got) and got[0]["n_points"] == len(x)
-
-
-def test_silhouette_anchors(spark):
-    x, y = blobs(2, 600)
-    df = frame(spark, x, y=y.tolist())
-    got = silhouette.silhouettes(df, COLS, ["y"], exact_limit=100, anchors=200)[0]
-    exact = brute_silhouette(x, y).mean()
-    assert not got["exact"] and got["n_points"] == 200
-    assert abs(got["silhouette"] - exact) < 4 * got["std_error"] + 1e-9
-    assert silhouette.squared_silhouette(df, COLS, "y") > exact
+    assert got[0]["n_points"] == len(x)
+
+
+def test_squared_silhouette(spark):
+    """Linear form against all distances, with equal rows, a cluster of one, and one cluster."""
+    x, y = blobs(2, 120)
+    x[10:20], y[10:20] = x[10], y[10]
+    other = np.where(np.arange(len(x)) == 3, 9, y % 2)
+    df = frame(spark, x, y=y.tolist(), z=other.tolist(), one=[0] * len(x))
+    got = silhouette.silhouettes(df, COLS, ["y", "z", "one"], method="squared")
+    far = ((x[:, None] - x[None]) ** 2).sum(-1)
+    for g, labels in zip(got, (y, other)):
+        values = []
+        for i in range(len(x)):
+            mean = {v: far[i][labels == v].sum() / max(1, (labels == v).sum() - (v == labels[i])) for v in set(labels)}
+            a, b = mean.pop(labels[i]), min(mean.values())
+            values.append((b - a) / max(a, b) if (labels == labels[i]).sum() > 1 else 0.0)
+        assert g["silhouette"] == pytest.approx(np.mean(values)) and g["n_points"] == len(x)
+    assert got[2]["silhouette"] is None
 
 
 def test_adjusted_rand(spark):
@@ -97,7 +105,7 @@ def test_adjusted_rand(spark):
 def test_kmeans_sweep_and_stability(spark):
     x, y = blobs(3, 200)
     df = frame(spark, x).persist()
-    best, sweep = kmeans.sweep_k(df, COLS, 2, 4, n_init=2)
+    best, sweep = kmeans.sweep_k(df, COLS, 2, 4, n_init=4, method="euclidean")
     assert best.k == 3 and [r["k"] for r in sweep] == [2, 3, 4]
     assert list(best.centers) == sorted(best.centers)
     got = kmeans.assign_columns(df, COLS, best.centers).orderBy("transaction_id").toPandas()
@@ -106,14 +114,31 @@ def test_kmeans_sweep_and_stability(spark):
     np.testing.assert_allclose(got.distance_to_centroid, d.min(1))
     assert sum((got.distance_to_centroid) ** 2) == pytest.approx(best.cost)
     assert sweep[1]["silhouette"] == pytest.approx(brute_silhouette(x, d.argmin(1)).mean())
-    scores = stability.stability(df, COLS, best, seeds=2, n_init=1)
-    assert len(scores) == 2 and min(scores) > 0.9
+    linear, _ = kmeans.sweep_k(df, COLS, 2, 4, n_init=4)
+    assert linear.k == 3 and linear.cost == pytest.approx(best.cost)
+    scores = stability.stability(df, COLS, best, seeds=3, n_init=4)
+    assert len(scores) == 3 and min(scores) > 0.9
     assert stability.stability(df.limit(19), COLS, best) is None
-    sample = stability.subsample(df, "transaction_id", 0.8, 1, 200, 4)
-    assert sample.count() == sample.distinct().count() == 160
+    limits = stability.hash_limits(df, "transaction_id", [1, 2], 160)
+    for s in (1, 2):
+        assert df.filter(stability.salted("transaction_id", s) <= limits[s]).count() == 160
     assert kmeans.sweep_k(df.limit(3), COLS, n_init=1)[1][0]["k"] == 2
 
 
+def test_starts_share_passes_and_weights(spark):
+    """A weight of n stands for n equal rows, and starts do not disturb each other."""
+    x, _ = blobs(6, 60)
+    df = frame(spark, x).withColumn("one", F.lit(1.0)).withColumn("half", (F.col("a") > 2).cast("double"))
+    first = [kmeans.Start("one", x[:3]), kmeans.Start("half", x[5:8]), kmeans.Start("one", x[:2])]
+    together = kmeans.run_starts(df, COLS, first)
+    alone = [kmeans.run_starts(df, COLS, [f])[0] for f in first]
+    for a, b in zip(together, alone):
+        np.testing.assert_allclose(a.centers, b.centers)
+    doubled = kmeans.run_starts(df.withColumn("one", F.lit(2.0)), COLS, first[:1])[0]
+    assert doubled.cost == pytest.approx(2 * together[0].cost)
+    np.testing.assert_allclose(doubled.centers, together[0].centers)
+
+
 def test_assign_vectors_and_raw_centroids(spark):
     df = spark.createDataFrame([(0, [0.0, 1.0]), (1, [5.0, 5.0])], "i int, v array<double>")
     got = kmeans.assign_vectors(df, "v", [[0, 0], [5, 4], [5, 4]]).orderBy("i").collect()
