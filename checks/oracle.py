@@ -828,3 +828,18 @@ O["multiset_common"] = with_(
     RECONCILE, select=f"SELECT {_keys} FROM truth INTERSECT ALL SELECT {_keys} FROM got")
 O["multiset_missing"] = with_(
     RECONCILE, select=f"SELECT {_keys} FROM truth EXCEPT ALL SELECT {_keys} FROM got")
+
+O["ingest_outcome"] = """
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 10 = 3 AS bad FROM orders),
+calls AS (SELECT unnest([0, 1]) AS call)
+SELECT call,
+  count(*) FILTER (NOT bad AND (call = 1 OR k % 7 <> 6)) AS parsed,
+  count(*) FILTER (bad AND (call = 1 OR k % 7 <> 6)) AS unparsed,
+  count(*) FILTER (NOT bad AND (k % 7 = 6) = (call = 1)) AS inserted,
+  count(*) FILTER (NOT bad AND call = 1 AND k % 7 <> 6) AS skipped,
+  count(*) FILTER (NOT bad AND (call = 1 OR k % 7 <> 6)) AS stored,
+  count(*) FILTER (bad AND (call = 1 OR k % 7 <> 6)) AS listed
+FROM calls, o GROUP BY call"""
+O["kmeans_facts"] = with_(SPEND, select="""
+SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n_nearer_elsewhere,
+  true AS centers_are_means, true AS cost_adds_up FROM spend""")

@@ -20,7 +20,8 @@ from spendspark.operators.quantiles import exact_percentile
 from spendspark.plans.clean import clean_ledger
 from spendspark.plans.recluster import recluster
 from spendspark.plans.score import run_profile, score_new
-from spendspark.plans.store import new_rows
+from spendspark.plans.ingest import ingest_path
+from spendspark.plans.store import LedgerStore, new_rows
 from spendspark.runtime import durable, scratch_path
 from spendspark.sources import csv_statement as csv
 from spendspark.sources import registry
@@ -165,8 +166,7 @@ def stmt_route_unparsed(spark, sf_dir):
 
 @query
 def stmt_parse_stats(spark, sf_dir):
-    parsed = csv.parse_fields(inputs.statements(spark, sf_dir))
-    return csv.parse_stats(csv.good_rows(parsed), csv.bad_rows(parsed))
+    return csv.parsed_stats(csv.parse_fields(inputs.statements(spark, sf_dir)))
 
 
 def _csv_folder(spark, sf_dir) -> str:
@@ -710,6 +710,51 @@ def multiset_missing(spark, sf_dir):
 
 
 # --- jobs --------------------------------------------------------------------------------
+def _statement_files(spark, sf_dir, path: str, rule: str) -> None:
+    """One statement line per order that ``rule`` takes, as CSV files under ``path``."""
+    orders = inputs.table(spark, sf_dir, "orders").where(rule)
+    day = F.when(F.col("o_orderkey") % 10 == 3, "some day").otherwise(
+        F.date_format("o_orderdate", "yyyy-MM-dd"))
+    (orders.select(day.alias("Date"), F.concat(F.lit("Paid to shop "), F.col("o_orderkey") % 40).alias("Details"),
+                   F.lit("debit").alias("Type"), F.col("o_totalprice").cast("decimal(14,2)").alias("Amount"),
+                   F.concat(F.lit("UTR"), "o_orderkey").alias("UTR"))
+     .write.mode("append").option("header", True).csv(path))
+
+
+@query
+def ingest_outcome(spark, sf_dir):
+    """Statement files ingested twice; the second time a seventh of the orders is new."""
+    path, store = scratch_path(spark, "files"), LedgerStore(spark, scratch_path(spark, "store"))
+    out = []
+    for call, rule in enumerate(["o_orderkey % 7 <> 6", "o_orderkey % 7 = 6"]):
+        _statement_files(spark, sf_dir, path, rule)
+        seen = ingest_path(spark, store, path, fuzzy_threshold=None, created_at=datetime(2024, 1, 1))
+        out.append((call, seen["parsed"], seen["unparsed"], seen["inserted"], seen["duplicates_skipped"],
+                    store.read("transactions").count(), store.read("unparsed").count()))
+    return spark.createDataFrame(out, "call long, parsed long, unparsed long, inserted long, "
+                                      "skipped long, stored long, listed long")
+
+
+@query
+def kmeans_facts(spark, sf_dir):
+    """What any fit must satisfy: rows sit at their nearest center, centers are their means,
+    the cost is what the rows add up to."""
+    x = _scaled(spark, sf_dir)
+    fit = kmeans.fit_kmeans(x, COLUMNS, k=3)
+    rows = kmeans.assign_columns(x, COLUMNS, fit.centers)
+    table = spark.createDataFrame([(i, *c) for i, c in enumerate(fit.centers)],
+                                  "c int, " + ", ".join(f"m{j} double" for j in range(len(COLUMNS))))
+    far = F.sqrt(sum((F.col(c) - F.col(f"m{j}")) ** 2 for j, c in enumerate(COLUMNS)))
+    nearer = (rows.join(F.broadcast(table), F.col("c") != F.col("cluster_index"))
+              .where(far < F.col("distance_to_centroid") - 1e-9).count())
+    means = {r[0]: r[1:] for r in rows.groupBy("cluster_index").agg(*[F.avg(c) for c in COLUMNS]).collect()}
+    apart = max(abs(a - b) for i, c in enumerate(fit.centers) for a, b in zip(c, means[i]))
+    cost = rows.agg(F.sum(F.col("distance_to_centroid") ** 2)).first()[0]
+    return rows.agg(F.count("*").alias("n_rows"), F.countDistinct("cluster_index").alias("k")).select(
+        "n_rows", "k", F.lit(nearer).alias("n_nearer_elsewhere"), F.lit(apart < 1e-3).alias("centers_are_means"),
+        F.lit(abs(cost - fit.cost) <= 1e-6 * cost).alias("cost_adds_up"))
+
+
 @query
 def recluster_assignments(spark, sf_dir):
     run = recluster(durable(cleaned(spark, sf_dir)), Tunables(), run_id="run",

@@ -305,7 +305,10 @@ def rows_of_lines(
 
 
 def parse_stats(parsed: DataFrame, unparsed: DataFrame) -> DataFrame:
-    """Per file: rows parsed and not, and the share parsed (0 when there are none)."""
+    """Per file: rows parsed and not, and the share parsed (0 when there are none).
+
+    Of rows that ``parse_fields`` gave, ``parsed_stats`` counts both kinds in one pass.
+    """
     both = parsed.select("source_file", F.lit(1).alias("ok")).unionByName(
         unparsed.select("source_file", F.lit(0).alias("ok")))
     return both.groupBy("source_file").agg(
@@ -313,3 +316,11 @@ def parse_stats(parsed: DataFrame, unparsed: DataFrame) -> DataFrame:
         F.sum(1 - F.col("ok")).cast("bigint").alias("unparsed"),
         F.round(F.avg("ok"), 4).alias("parse_rate"),
     )
+
+
+def parsed_stats(rows: DataFrame) -> DataFrame:
+    """``parse_stats`` of rows with their ``reason``."""
+    ok = F.col("reason").isNull().cast("bigint")
+    return rows.groupBy("source_file").agg(
+        F.sum(ok).alias("parsed"), F.sum(1 - ok).alias("unparsed"),
+        F.round(F.avg(ok), 4).alias("parse_rate"))

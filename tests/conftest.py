@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import sys
 from pathlib import Path
+from tempfile import mkdtemp
 
 import pytest
 from pyspark.sql import SparkSession
@@ -17,6 +18,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", mkdtemp(prefix="run-", dir="/tmp"))
         .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
