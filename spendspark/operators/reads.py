@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.dates import month_of
+from ..runtime import durable
 
 
 class NoRunError(LookupError):
@@ -74,7 +75,7 @@ def zero_fill(totals: DataFrame) -> DataFrame:
 
     ``totals`` holds months times clusters, a small table that is read three times.
     """
-    totals = totals.persist()
+    totals = durable(totals)
     by_label = totals.groupBy("label", "cluster_index").agg(F.lit(1).alias("_one"))
     series = by_label.groupBy("_one").agg(
         F.collect_list(F.struct("cluster_index", "label")).alias("_all"))
@@ -136,12 +137,34 @@ def in_cluster(
     return transactions.join(ids, "id", "left_semi")
 
 
+def _months_of_page(
+    transactions: DataFrame, limit: int, offset: int
+) -> tuple[DataFrame, int]:
+    """Rows of the months that a page touches, and its offset among them (undated rows last)."""
+    month = F.date_format("txn_date", "yyyy-MM")
+    counts = transactions.where("txn_date is not null").groupBy(month.alias("m")).agg(
+        F.count("*").alias("n")).orderBy(F.desc("m")).collect()
+    skipped = seen = 0
+    newest = oldest = None
+    for r in counts:
+        seen += r["n"]
+        if newest is None and seen <= offset:
+            skipped = seen
+            continue
+        newest, oldest = newest or r["m"], r["m"]
+        if seen >= offset + limit:
+            return transactions.filter(month.between(oldest, newest)), offset - skipped
+    undated = F.col("txn_date").isNull()
+    return transactions.filter(undated if newest is None else undated | (month <= newest)), offset - skipped
+
+
 def page(
     transactions: DataFrame, limit: int = fv.PAGE_LIMIT, offset: int = 0,
     after: tuple[datetime, str] | None = None,
 ) -> DataFrame:
     """Newest first. ``after`` continues below the last (txn_date, id) of the previous page
-    and needs no offset, which keeps deep pages cheap."""
+    and needs no offset, which keeps deep pages cheap. An offset is found by the counts of
+    months, so only the months that the page touches are sorted."""
     if limit > fv.PAGE_LIMIT_MAX:
         raise ValueError(f"limit is at most {fv.PAGE_LIMIT_MAX}")
     out = transactions
@@ -149,6 +172,8 @@ def page(
         ts, last_id = F.lit(after[0]), F.lit(after[1])
         out = out.filter(
             (F.col("txn_date") < ts) | ((F.col("txn_date") == ts) & (F.col("id") > last_id)))
+    if offset:
+        out, offset = _months_of_page(out, limit, offset)
     return out.orderBy(F.desc("txn_date"), "id").offset(offset).limit(limit)
 
 

@@ -183,3 +183,12 @@ def test_reconcile(spark):
     empty = reconcile.reconcile_summary(truth.limit(0), got).first()
     assert empty["match_rate"] == 0.0 and empty["false_positives"] == 4
     assert reconcile.reconcile_summary(truth, truth).first()["meets_target"]
+
+
+def test_deep_pages_are_slices_of_the_order(spark):
+    rows = [(f"i{i:03d}", datetime(2024, 1 + i * 7 % 5, 1 + i % 9) if i % 11 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, txn_date timestamp")
+    every = [r["id"] for r in reads.page(df, limit=500).collect()]
+    assert len(every) == 120
+    for offset, limit in ((0, 7), (1, 10), (29, 40), (60, 30), (100, 15), (112, 20), (119, 5), (130, 5)):
+        assert [r["id"] for r in reads.page(df, limit=limit, offset=offset).collect()] == every[offset:offset + limit]
