@@ -13,7 +13,8 @@ import corpus_pipeline
 from spendspark.llm.components import connected
 from spendspark.llm.language import (
     Field, Settings, detect_languages, fit_field, learn_languages, posteriors)
-from spendspark.llm.line_dedup import BLOCKS, DIFFER, block_keys, drop_repeated_lines, line_table
+from spendspark.llm.line_dedup import (
+    BLOCKS, DIFFER, block_keys, drop_repeated_lines, line_hashes, line_texts, simhash)
 from spendspark.llm.minhash import shingle_sets, signatures, weights
 from spendspark.llm.near_duplicates import keep_one_of_each, near_duplicate_classes
 from spendspark.llm.queries import QUERIES
@@ -123,7 +124,8 @@ def test_lines_against_all_pairs(make_docs, messy):
             lines.append(rng.choice([" ".join(w), " ".join(w).upper() + "!!", "short line", ""]))
         rows.append((i % 50, "\n".join(lines)))
     docs = make_docs(rows).unionByName(messy)
-    lines = [r.asDict() for r in line_table(docs).collect()]
+    texts = line_texts(docs)
+    lines = [r.asDict() for r in line_hashes(texts).join(texts.select("id", "norm").distinct(), "id").collect()]
     by_id = {r["id"]: r for r in map(lambda r: r | {"id": bytes(r["id"])}, lines)}
     links = [(a, b) for a, b in itertools.combinations(sorted(by_id), 2)
              if bin((by_id[a]["sim"] ^ by_id[b]["sim"]) & (2 ** 64 - 1)).count("1") <= DIFFER
@@ -163,11 +165,15 @@ def test_pigeonhole_keys(spark):
     assert shared.count() == 300 and BLOCKS > DIFFER
 
 
-def test_simhash_lanes_agree(make_docs):
+def test_simhash_lanes_agree(make_docs, monkeypatch):
     words = [f"v{i}" for i in range(200)]
-    docs = make_docs([(1, " ".join(words)), (2, " ".join(words[::-1])), (3, " ".join(words[:120]))])
-    sims = {r["doc_id"]: r["sim"] for r in line_table(docs).collect()}
+    texts = line_texts(make_docs([(1, " ".join(words)), (2, " ".join(words[::-1])), (3, " ".join(words[:120]))]))
+    sims = {r["doc_id"]: r["sim"] for r in line_hashes(texts).collect()}
     assert sims[1] == sims[2] != sims[3]
+    wide = {r["doc_id"]: r["sim"] for r in texts.select("doc_id", simhash(F.split("norm", " ")).alias("sim")).collect()}
+    assert wide == sims
+    monkeypatch.setattr("spendspark.llm.line_dedup.MOST_WORDS", 150)
+    assert {r["doc_id"]: r["sim"] for r in line_hashes(texts).collect()} == sims
 
 
 def test_forward_backward_against_enumeration():
