@@ -14,7 +14,6 @@ from ..functions.vectors import column_distance, literal_vector, squared_distanc
 from ..runtime import durable
 from .silhouette import silhouettes
 
-START_SAMPLE = 5_000
 STEP_ROWS = 2_048
 
 
@@ -33,18 +32,6 @@ class Start:
     centers: np.ndarray
 
 
-def spread_centers(sample: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k centers drawn from a sample, each by its squared distance from those before."""
-    chosen = [sample[rng.choice(len(sample), p=weight / weight.sum())]]
-    near = ((sample - chosen[0]) ** 2).sum(axis=1)
-    while len(chosen) < k:
-        odds = near * weight
-        odds = odds / odds.sum() if odds.sum() > 0 else weight / weight.sum()
-        chosen.append(sample[rng.choice(len(sample), p=odds)])
-        near = np.minimum(near, ((sample - chosen[-1]) ** 2).sum(axis=1))
-    return np.array(chosen)
-
-
 def _moments(vectors: DataFrame, columns: Sequence[str], starts: dict[int, Start]) -> dict:
     """(start, cluster) -> (weight, sums, cost) at the given centers: one pass for all starts."""
     known = vectors.sparkSession.sparkContext.broadcast(
@@ -104,21 +91,59 @@ def run_starts(
             for i, s in now.items()]
 
 
+def _even(h: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers over 0 and up to 1, evenly spread, from hashes and a salt."""
+    z = h.astype(np.int64).view(np.uint64) ^ np.uint64(salt)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) + 1) / 2.0 ** 53
+
+
 def draw_starts(
     vectors: DataFrame, columns: Sequence[str], tasks: Sequence[tuple[int, str, int]],
 ) -> list[Start]:
-    """A start for each (k, weight column, seed), from ``START_SAMPLE`` vectors at most, the
-    first by a hash of their values."""
-    weights = sorted({w for _, w, _ in tasks})
-    rows = vectors.orderBy(F.xxhash64(*columns), *columns).limit(START_SAMPLE).select(
-        *columns, *weights).toPandas()
-    x = rows[list(columns)].to_numpy(float)
-    starts = []
-    for k, weight, seed in tasks:
-        w = rows[weight].to_numpy(float)
-        starts.append(Start(weight, spread_centers(
-            x, w if w.sum() > 0 else np.ones(len(w)), k, np.random.default_rng([seed, k]))))
-    return starts
+    """A start for each (k, weight column, seed), drawn from all vectors.
+
+    The first center is drawn by weight, each next one by weight times squared distance from
+    those before: the vector with the least exponential key at that rate. A pass draws the next
+    center of all starts; keys come from a hash of the values, so partitioning changes nothing.
+    Where no vector is left at a distance, weights alone decide, and without weights the hash.
+    """
+    names = list(columns)
+    hashed = vectors.withColumn("_h", F.xxhash64(*names))
+    centers = {i: np.empty((0, len(names))) for i in range(len(tasks))}
+    out = ["start", "tier", "key", *[f"x{j}" for j in range(len(names))]]
+    while wanted := [i for i, (k, _, _) in enumerate(tasks) if len(centers[i]) < k]:
+        known = vectors.sparkSession.sparkContext.broadcast([
+            (i, tasks[i][1], centers[i], int(np.random.default_rng(
+                [tasks[i][2], tasks[i][0], len(centers[i])]).integers(2 ** 63))) for i in wanted])
+
+        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: dict[int, tuple] = {}
+            for whole in batches:
+                for lo in range(0, len(whole), STEP_ROWS):
+                    part = whole.iloc[lo:lo + STEP_ROWS]
+                    x, h = part[names].to_numpy(float), part["_h"].to_numpy()
+                    for i, weight, chosen, salt in known.value:
+                        w = part[weight].to_numpy(float)
+                        far = (sum((x[:, j, None] - chosen[None, :, j]) ** 2 for j in range(x.shape[1])).min(axis=1)
+                               if len(chosen) else np.ones(len(x)))
+                        tier = np.where(w * far > 0, 0, np.where(w > 0, 1, 2))
+                        rate = np.where(tier == 0, w * far, np.where(tier == 1, w, 1.0))
+                        key = -np.log(_even(h, salt)) / rate
+                        at = np.lexsort((key, tier))[0]
+                        row = (int(tier[at]), float(key[at]), *map(float, x[at]))
+                        best[i] = min(best.get(i, row), row)
+            yield pd.DataFrame([(i, *row) for i, row in best.items()], columns=out)
+
+        drawn = hashed.mapInPandas(draw, "start int, tier int, " + ", ".join(
+            f"{c} double" for c in out[2:])).groupBy("start").agg(
+            F.min(F.struct(*out[1:])).alias("m")).collect()
+        if not drawn:
+            raise ValueError("no vectors to draw starts from")
+        for r in drawn:
+            centers[r["start"]] = np.vstack([centers[r["start"]], r["m"][2:]])
+    return [Start(weight, centers[i]) for i, (_, weight, _) in enumerate(tasks)]
 
 
 def best_fits(tasks: Sequence[tuple], fits: Sequence[Fit]) -> dict:

@@ -243,3 +243,19 @@ def test_flag_anomalies(spark):
     assert [k for k, r in got.items() if r["is_anomaly"]] == [k for k in got if k in ("t1", "t5")]
     assert math.isfinite(float(got["t5"]["anomaly_reason"].split("z=")[1][:-1]))
     assert df.join(noise, "transaction_id").agg(F.count("*")).first()[0] == 2
+
+
+def test_starts_are_drawn_from_all_vectors(spark):
+    """Eight single vectors far from 20,000 others, and one that stands for most rows."""
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), 1.0) for a, b in rng.random((20_000, 2))]
+    far = [(1e3 * float(np.cos(t)), 1e3 * float(np.sin(t))) for t in range(8)]
+    df = spark.createDataFrame([*rows, *[(a, b, 1.0) for a, b in far], (0.5, 0.5, 1e5)], "a double, b double, w double")
+    tasks = [(10, "w", s) for s in range(5)]
+    starts = kmeans.draw_starts(df, ["a", "b"], tasks)
+    for s in starts:
+        assert s.centers.shape == (10, 2) and set(far) <= set(map(tuple, s.centers.tolist()))
+    again = kmeans.draw_starts(df.repartition(7), ["a", "b"], tasks)
+    assert all((x.centers == y.centers).all() for x, y in zip(starts, again))
+    first = [tuple(s.centers[0]) for s in kmeans.draw_starts(df, ["a", "b"], [(1, "w", s) for s in range(40)])]
+    assert first.count((0.5, 0.5)) > 25
