@@ -237,3 +237,28 @@ def test_pipeline_stages(spark):
     assert drop_repeated_lines(docs).where("size(removed_lines) > 0").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == counts[4]
+
+
+def fuzzy_pairs(rng):
+    """(line, its changed copy) within the similarity: words swapped, letters changed, put in or left out."""
+    syllable = lambda: rng.choice("bcdfglmnrst") + rng.choice("aeiou") + rng.choice(["", "n", "r", "s"])
+    for n in [5, 6, 8, 8, 12, 20, 30, 45, 80] * 12:
+        words = ["".join(syllable() for _ in range(rng.randint(1, 4))) for _ in range(n)]
+        line = " ".join(words)
+        for _ in range(9):
+            other = list(words)
+            k = rng.randrange(n)
+            how = rng.randrange(3)
+            other[k] = [other[k] + "x", other[k][1:] or "q", "".join(syllable() for _ in range(2))][how]
+            text = " ".join(other)
+            if text != line and 10 * edits(line, text) <= max(len(line), len(text)) and len(line) >= 20:
+                yield line, text
+                break
+
+
+def test_line_recall_against_edit_similarity(make_docs):
+    pairs = list(fuzzy_pairs(random.Random(11)))
+    assert len(pairs) > 90
+    docs = make_docs([(2 * i + j, line) for i, p in enumerate(pairs) for j, line in enumerate(p)])
+    gone = {r["doc_id"] for r in drop_repeated_lines(docs).where("size(removed_lines) > 0").collect()}
+    assert gone <= {2 * i + 1 for i in range(len(pairs))} and len(gone) >= 0.97 * len(pairs)
