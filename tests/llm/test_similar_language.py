@@ -262,3 +262,10 @@ def test_line_recall_against_edit_similarity(make_docs):
     docs = make_docs([(2 * i + j, line) for i, p in enumerate(pairs) for j, line in enumerate(p)])
     gone = {r["doc_id"] for r in drop_repeated_lines(docs).where("size(removed_lines) > 0").collect()}
     assert gone <= {2 * i + 1 for i in range(len(pairs))} and len(gone) >= 0.97 * len(pairs)
+
+
+def test_short_and_unspaced_lines(make_docs):
+    han = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(40))
+    lines = ["Read more here", "READ more here!", "}", "}", "abc", "abc", "Share", "share", han, han[:20] + "丁" + han[21:]]
+    out = drop_repeated_lines(make_docs([(i, line) for i, line in enumerate(lines)])).collect()
+    assert {r["doc_id"] for r in out if r["removed_lines"]} == {1, 7, 9}
