@@ -14,7 +14,7 @@ from spendspark.llm.components import connected
 from spendspark.llm.language import (
     Field, Settings, detect_languages, fit_field, learn_languages, posteriors)
 from spendspark.llm.line_dedup import (
-    BLOCKS, DIFFER, block_keys, drop_repeated_lines, line_hashes, line_texts, simhash)
+    BLOCKS, DIFFER, block_keys, drop_repeated_lines, edit_room, line_hashes, line_texts, simhash)
 from spendspark.llm.minhash import shingle_sets, signatures, weights
 from spendspark.llm.near_duplicates import keep_one_of_each, near_duplicate_classes
 from spendspark.llm.queries import QUERIES
@@ -269,3 +269,16 @@ def test_short_and_unspaced_lines(make_docs):
     lines = ["Read more here", "READ more here!", "}", "}", "abc", "abc", "Share", "share", han, han[:20] + "丁" + han[21:]]
     out = drop_repeated_lines(make_docs([(i, line) for i, line in enumerate(lines)])).collect()
     assert {r["doc_id"] for r in out if r["removed_lines"]} == {1, 7, 9}
+
+
+def test_edits_at_the_bound_and_rows_alike(spark, make_docs, monkeypatch):
+    assert spark.range(1).select(*[edit_room(F.lit(n), 0.9) for n in (19, 20, 50, 390)]).first()[:] == (1, 2, 5, 39)
+    line = "table lamp carbon window market pencil garden stone"[:50]
+    docs = make_docs([(1, line), (2, "XXXXX" + line[5:])])
+    assert len(line) == 50 and drop_repeated_lines(docs).where("size(removed_lines) > 0").count() == 1
+    monkeypatch.setattr("spendspark.llm.line_dedup.MOST_WORDS", 150)
+    words = " ".join(f"v{i}" for i in range(120))
+    texts = line_texts(make_docs([(1, words)] * 3 + [(2, words)]))
+    assert [r["doc_id"] for r in line_hashes(texts).orderBy("doc_id").collect()] == [1, 2]
+    sims = {r["sim"] for r in line_hashes(texts).collect()}
+    assert sims == {r[0] for r in texts.select(simhash(F.split("norm", " "))).collect()} and len(sims) == 1
