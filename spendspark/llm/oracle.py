@@ -132,3 +132,47 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256
        CAST(3 + chars AS BIGINT) AS formatted_chars
 FROM g
 """
+
+
+def _apart(centroids: str) -> str:
+    """Every vector's squared distances from the centroids."""
+    return (f"SELECT r, c, CAST(sum((v - m) * (v - m)) AS BIGINT) AS dist FROM entries "
+            f"JOIN {centroids} USING (j) GROUP BY r, c")
+
+
+def _nearest(number: int) -> str:
+    return f"""own{number} AS MATERIALIZED (
+  SELECT r, c, dist FROM ({_apart(f"at{number}")})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY dist, c) = 1
+)"""
+
+
+def _following(number: int) -> str:
+    """Centroids of the next round: floored means, empty ones as they are."""
+    return f"""at{number + 1} AS MATERIALIZED (
+  SELECT c, j, coalesce(f, m) AS m FROM at{number} LEFT JOIN (
+    SELECT c, j, (s - (s % n + n) % n) // n AS f
+    FROM (SELECT c, j, CAST(sum(v) AS BIGINT) AS s, count(*) AS n
+          FROM own{number} JOIN entries USING (r) GROUP BY c, j)) USING (c, j)
+)"""
+
+
+OP11_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x
+  FROM embeddings WHERE len(embedding) = 64
+    AND len([e FOR e IN embedding IF e IS NOT NULL AND isfinite(e)]) = 64
+), entries AS MATERIALIZED (
+  SELECT r, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM kept
+), start AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS c FROM kept
+), at0 AS MATERIALIZED (
+  SELECT c, j, v AS m FROM start JOIN entries USING (r) WHERE c < 16
+), {", ".join(f"{_nearest(i)}, {_following(i)}" for i in range(3))}, {_nearest(3)}, digests AS (
+  SELECT c, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM at3 GROUP BY c
+)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, dist AS distance,
+       CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(dist) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM own3 JOIN kept USING (r) JOIN digests USING (c)
+"""

@@ -8,17 +8,20 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendspark.llm.centroids import cluster_vectors
 from spendspark.llm.chat import chat_digests, format_branches, linear_messages
 from spendspark.llm.decontaminate import find_contaminated
 from spendspark.llm.language import detect_languages, learn_languages
+from spendspark.llm.length_packing import pack_by_length
 from spendspark.llm.line_dedup import drop_repeated_lines
 from spendspark.llm.near_duplicates import near_duplicate_classes
-from spendspark.llm.oracle import OP2_SQL, OP5_SQL, OP6_SQL, OP9_SQL
+from spendspark.llm.oracle import OP2_SQL, OP5_SQL, OP6_SQL, OP9_SQL, OP11_SQL
 from spendspark.llm.packing import pack_documents
 from spendspark.llm.pii import pseudonymise
 from spendspark.llm.quality import score_quality
 from spendspark.llm.sharding import assign_shards
 from spendspark.llm.urls import judge_urls, listed_by_label
+from spendspark.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +81,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings")).drop("dots")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_by_length(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
@@ -89,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_packing": op10_packing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_best_fit_packing": op13_best_fit_packing,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -97,4 +115,5 @@ ORACLE: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
     "op6_url_filters": OP6_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op11_centroid_clustering": OP11_SQL,
 }
