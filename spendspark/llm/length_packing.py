@@ -10,7 +10,9 @@ its rank among the pieces of its length.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -21,54 +23,126 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spendspark.llm.packing import ChunkEncoder
+from spendspark.llm.packing import BLANK, LETTER
 from spendspark.llm.storage import stored
-from spendspark.llm.textarrays import text_slices
+from spendspark.llm.textarrays import LOWER, hash_ranges, text_slices
 
 CAPACITY = 4096
 END_ID = 1
 SLICE_BYTES = 1 << 22
+CACHE_ENTRIES = 400_000
+WORD_END = "</w>"
+WORDS_AT_ONCE = 500
 #: ranks are counted in groups of about this many pieces of one length
 GROUP_ROWS = 50_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordEncoder(ChunkEncoder):
+class WordEncoder:
     """Token ids of texts by a tokeniser that joins nothing across words.
 
-    Blanks give no ids and end a word, as any sign after an ASCII letter does; so the ids of a
-    text are those of its chunks, which are encoded once and looked up when met again. Texts
-    that hold a special string go to the tokeniser whole.
+    Blanks give no ids and end a word, as any ASCII sign after an ASCII letter does; so the ids
+    of a text are those of its chunks, which are encoded once and looked up when met again. New
+    words of Latin letters are encoded many at a time: each ends with a token that closes a
+    word. Texts that hold a special string go to the tokeniser whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        tokens = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(tokens.values()) + 1, bool)
+        self.closes[[i for token, i in tokens.items() if token.endswith(WORD_END)]] = True
         self.forget()
 
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.begin, self.pool = array("q", [0]), array("I")
+
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(
             [t.decode() for t in texts], add_special_tokens=False)]
 
-    def _learn(self, keys: list[int], chunks: list[bytes]) -> None:
-        for key, ids in zip(keys, self._ids(chunks), strict=True):
-            self.place[key] = len(self.begin) - 1
-            self.pool.extend(ids)
-            self.begin.append(len(self.pool))
+    def _learn(self, keys: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of new chunks, in a row; ``ends`` says where those of each chunk end."""
+        self.place.update(zip(keys, range(len(self.begin) - 1, len(self.begin) - 1 + len(keys)), strict=True))
+        self.begin.frombytes((ends + len(self.pool)).astype(np.int64).tobytes())
+        self.pool.frombytes(ids.astype(np.uint32).tobytes())
+
+    def _learn_words(self, keys: list[int], words: list[bytes]) -> None:
+        runs = [b" ".join(words[i:i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        ids = np.array([i for run in self._ids(runs) for i in run], np.uint32)
+        self._learn(keys, ids, np.flatnonzero(self.closes[ids]) + 1)
+
+    def _learn_others(self, keys: list[int], chunks: list[bytes]) -> None:
+        each = self._ids(chunks)
+        self._learn(keys, np.array([i for ids in each for i in ids], np.uint32),
+                    np.cumsum([len(ids) for ids in each]))
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where the ids of each text begin."""
         raw = data.tobytes()
         if any(word in raw for word in self.special):
             each = self._ids([raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-            return (np.concatenate([np.array(e, np.uint32) for e in each] or [np.zeros(0, np.uint32)]),
-                    np.cumsum([0, *map(len, each)]))
-        return super().__call__(data, bounds)
+            return (np.array([i for ids in each for i in ids], np.uint32), np.cumsum([0, *map(len, each)]))
+        data, starts, ends, pure = word_chunks(data, bounds)
+        if len(starts) == 0:
+            return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        keys, at, which = np.unique(hash_ranges(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.place) > CACHE_ENTRIES:
+            self.forget()
+        listed = keys.tolist()
+        new = np.array([i for i, k in enumerate(listed) if k not in self.place], np.int64)
+        raw = data.tobytes()
+        for learn, some in ((self._learn_words, new[pure[at[new]]]), (self._learn_others, new[~pure[at[new]]])):
+            if len(some):
+                spots = at[some]
+                learn(keys[some].tolist(), [raw[a:b] for a, b in zip(
+                    starts[spots].tolist(), ends[spots].tolist(), strict=True)])
+        slots = np.array([self.place[k] for k in listed], np.int64)
+        begin, pool = np.frombuffer(self.begin, np.int64), np.frombuffer(self.pool, np.uint32)
+        lengths = (begin[slots + 1] - begin[slots])[which]
+        filled = np.concatenate([[0], np.cumsum(lengths)])
+        ids = pool[np.repeat(begin[slots][which] - filled[:-1], lengths) + np.arange(filled[-1])]
+        return ids, filled[np.searchsorted(starts, bounds)]
+
+
+def latin_letters(data: np.ndarray) -> np.ndarray:
+    """Flags of the bytes of the letters from U+00C0 to U+023F, but for the one whose lower case
+    is a letter and a mark; U+00D7 and U+00F7 are signs."""
+    first = (data >= 0xC3) & (data <= 0xC8)
+    pair = data[:-1].astype(np.uint16) << 8 | data[1:]
+    first[:-1] &= (pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)
+    first[1:] |= first[:-1]
+    return first
+
+
+def word_chunks(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, whether one word of Latin letters) of the chunks, without blanks.
+
+    ASCII letters come in lower case, as the tokeniser makes them, but for one before a byte
+    beyond ASCII: a mark may join it, and not all marks join both cases.
+    """
+    letter, blank = LETTER[data], BLANK[data]
+    wide = data >= 0x80
+    low = LOWER[data]
+    low[:-1] = np.where(wide[1:], data[:-1], low[:-1])
+    cut = np.zeros(len(data), bool)
+    cut[1:] = letter[:-1] & ~letter[1:] & ~wide[1:] | (blank[1:] != blank[:-1])
+    cut[bounds[bounds < len(data)]] = True
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], len(data))
+    letters = np.concatenate([[0], np.cumsum(letter | latin_letters(data))])
+    kept = ~blank[starts]
+    starts, ends = starts[kept], ends[kept]
+    return low, starts, ends, letters[ends] - letters[starts] == ends - starts
 
 
 @functools.lru_cache(maxsize=1)
 def shared_word_encoder(path: str) -> WordEncoder:
-    """One for each worker process, whose tasks share what it has learnt."""
+    """One for each worker process, whose tasks share what it has learnt; a task has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordEncoder(path)
 
 

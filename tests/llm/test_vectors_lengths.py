@@ -225,7 +225,7 @@ ODD_TEXTS = [
     "", " ", "don't DON'T ain't we'll you're I'm she'd they've 's", "a!'s b'S c 'tis", "x1y22z",
     "café café CAFÉ!́ a ́b", "İstanbul STRASSE ẞ ΣΣ", "a  b \tc\r\n\n d",
     "你好，世界 สวัสดี \U0001f600\U0001f680!", "end<|endoftext|>more <|startoftext|> <|END", "क्ष ‍‌ a‍b",
-    "word" * 900, "9" * 50 + "a" * 50, "'" * 40 + "s't", "Å Ω ﬁ ͅx", "tab\tx\x0by\x0cz\x1cq\x85w",
+    "a×b÷c İx xİ ŉ ǰ ȿ ɀ é×", "".join(chr(c) + "x " for c in range(0xC0, 0x250)), "H̱ẖ W̊ T̈x J̌ KẘA", "word" * 900, "9" * 50 + "a" * 50, "'" * 40 + "s't", "Å Ω ﬁ ͅx", "tab\tx\x0by\x0cz\x1cq\x85w",
 ]
 
 
