@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from spendspark.llm.components import connected
 from spendspark.llm.language import (
     Field, Settings, detect_languages, fit_field, learn_languages, posteriors)
 from spendspark.llm.line_dedup import (
-    BLOCKS, DIFFER, block_keys, drop_repeated_lines, edit_room, line_hashes, line_texts, simhash)
+    block_keys, drop_repeated_lines, edit_room, line_rows, line_texts, majority)
 from spendspark.llm.minhash import shingle_sets, signatures, weights
 from spendspark.llm.near_duplicates import keep_one_of_each, near_duplicate_classes
 from spendspark.llm.queries import QUERIES
@@ -111,8 +112,50 @@ def edits(a, b):
     return row[-1]
 
 
-def test_lines_against_all_pairs(make_docs, messy):
-    rng = random.Random(5)
+def plain_lines(rows, copies=None):
+    """Texts without repeated lines, by edit similarity of all pairs of different lines.
+
+    ``rows`` are (doc_id, text, hash of the text); gives (doc_id, text, numbers of removed lines).
+    """
+    texts = {}
+    for name, text, th in rows:
+        for no, line in enumerate([] if text is None else text.split("\n")):
+            norm = re.sub(r"[\W_]+", " ", line.lower()).strip()
+            if len(norm) >= 4:
+                texts[(name is not None, name or 0, th, no)] = norm
+    distinct = sorted(set(texts.values()))
+    links = [(a, b) for a, b in itertools.combinations(distinct, 2)
+             if min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) * 10 <= max(len(a), len(b))
+             and edits(a, b) * 10 <= max(len(a), len(b))]
+    top, first = roots(distinct, links), {}
+    for at in sorted(texts):
+        first.setdefault(top[texts[at]], at)
+    gone = {at for at, norm in texts.items() if first[top[norm]] != at}
+    if copies is not None:
+        stay, held = Counter(), defaultdict(Counter)
+        for at, norm in texts.items():
+            lead = first[top[norm]]
+            if at not in gone:
+                stay[at[:3]] += len(norm)
+            elif lead[:3] != at[:3]:
+                held[at[:3]][lead[:3]] += 0
+                held[at[:3], lead[:3]]["all"] += len(norm)
+                held[at[:3], lead[:3]]["equal"] += len(norm) * (texts[lead] == norm)
+        for doc in [d for d in held if len(d) == 3]:
+            _, source = max(((held[doc, src]["equal"], held[doc, src]["all"]), src) for src in held[doc])
+            equal, all_ = held[doc, source]["equal"], held[doc, source]["all"]
+            if equal >= copies * (stay[doc] + all_) and equal >= copies * stay[source]:
+                gone -= {at for at in gone if at[:3] == doc and first[top[texts[at]]][:3] == source}
+    out = []
+    for name, text, th in rows:
+        no = [i for i in range(0 if text is None else text.count("\n") + 1)
+              if (name is not None, name or 0, th, i) in gone]
+        out.append((name, text if text is None else "\n".join(
+            x for i, x in enumerate(text.split("\n")) if i not in no), no))
+    return sorted(out, key=repr)
+
+
+def line_documents(rng):
     base = [" ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnr')}{rng.randint(0, 99)}" for _ in range(14)) for _ in range(8)]
     rows = []
     for i in range(60):
@@ -123,57 +166,91 @@ def test_lines_against_all_pairs(make_docs, messy):
                 w[rng.randrange(14)] += rng.choice("xyz")
             lines.append(rng.choice([" ".join(w), " ".join(w).upper() + "!!", "short line", ""]))
         rows.append((i % 50, "\n".join(lines)))
-    docs = make_docs(rows).unionByName(messy)
-    texts = line_texts(docs)
-    lines = [r.asDict() for r in line_hashes(texts).join(texts.select("id", "norm").distinct(), "id").collect()]
-    by_id = {r["id"]: r for r in map(lambda r: r | {"id": bytes(r["id"])}, lines)}
-    links = [(a, b) for a, b in itertools.combinations(sorted(by_id), 2)
-             if bin((by_id[a]["sim"] ^ by_id[b]["sim"]) & (2 ** 64 - 1)).count("1") <= DIFFER
-             and edits(by_id[a]["norm"], by_id[b]["norm"]) <= int(
-                 max(len(by_id[a]["norm"]), len(by_id[b]["norm"])) * (1 - 0.9))]
-    assert links
-    top = roots(by_id, links)
-    order = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["th"], r["line_no"])
-    first = {}
-    for r in sorted(lines, key=order):
-        first.setdefault(top[bytes(r["id"])], order(r))
-    gone = {order(r) for r in lines if first[top[bytes(r["id"])]] != order(r)}
-    hashes = {(r["doc_id"], r["text"]): r["h"] for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    return rows
+
+
+def hashed_rows(docs):
+    return [tuple(r) for r in docs.select("doc_id", "text", F.xxhash64("text")).collect()]
+
+
+@pytest.mark.parametrize("limits", [{}, {"HOT": 2, "HOT_ROWS": 3, "SAMPLE": 1}, {"PAIRS": 2}, {"OFTEN": 1}])
+def test_lines_against_all_pairs(make_docs, messy, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(f"spendspark.llm.line_dedup.{name}", value)
+    docs = make_docs(line_documents(random.Random(5))).unionByName(messy).repartition(6)
     out = drop_repeated_lines(docs)
     assert sorted(out.columns) == sorted(docs.columns)
-    want = []
-    for r in docs.collect():
-        name, text = r["doc_id"], r["text"]
-        keep = text if text is None else "\n".join(
-            x for i, x in enumerate(text.split("\n"))
-            if (name is not None, name or 0, hashes[name, text], i) not in gone)
-        want.append(repr((name, keep)))
-    assert sorted(repr((r["doc_id"], r["text"])) for r in out.collect()) == sorted(want)
+    want = plain_lines(hashed_rows(docs))
+    assert sorted(((r["doc_id"], r["text"], r["removed_lines"]) for r in out.collect()), key=repr) == want
     assert drop_repeated_lines(docs.limit(0)).count() == 0
 
 
-def test_pigeonhole_keys(spark):
-    rng, rows = random.Random(2), []
-    for _ in range(300):
-        a = rng.getrandbits(63)
-        b = a
-        for bit in rng.sample(range(63), DIFFER):
-            b ^= 1 << bit
-        rows.append((a, b))
-    df = spark.createDataFrame(rows, "a long, b long")
-    shared = df.where(F.arrays_overlap(block_keys(F.col("a")), block_keys(F.col("b"))))
-    assert shared.count() == 300 and BLOCKS > DIFFER
-
-
-def test_simhash_lanes_agree(make_docs, monkeypatch):
-    words = [f"v{i}" for i in range(200)]
-    texts = line_texts(make_docs([(1, " ".join(words)), (2, " ".join(words[::-1])), (3, " ".join(words[:120]))]))
-    sims = {r["doc_id"]: r["sim"] for r in line_hashes(texts).collect()}
-    assert sims[1] == sims[2] != sims[3]
-    wide = {r["doc_id"]: r["sim"] for r in texts.select("doc_id", simhash(F.split("norm", " ")).alias("sim")).collect()}
-    assert wide == sims
-    monkeypatch.setattr("spendspark.llm.line_dedup.MOST_WORDS", 150)
-    assert {r["doc_id"]: r["sim"] for r in line_hashes(texts).collect()} == sims
+def test_copies_keep_their_lines(make_docs):
+    rng = random.Random(9)
+    line = lambda: " ".join(f"q{rng.randint(0, 10 ** 6)}" for _ in range(12))
+    own, footer = [line() for _ in range(12)], line()
+    near = [*own[:11], own[11] + " and more"]
+    rows = [(1, footer), (2, "\n".join([*own, footer])), (3, "\n".join([*own, footer])), (4, "\n".join(near)),
+            (5, "\n".join([*own[:6], *[line() for _ in range(6)]])), (6, "\n".join(own[:3])), (7, None), (8, ""),
+            (9, "\n".join([footer, footer])), (None, line())]
+    docs = make_docs(rows)
+    out = drop_repeated_lines(docs, copies=0.9).collect()
+    assert sorted(((r["doc_id"], r["text"], r["removed_lines"]) for r in out), key=repr) == plain_lines(
+        hashed_rows(docs), 0.9)
+    gone = {r["doc_id"]: r["removed_lines"] for r in out}
+    # copies lose what their original lost; a part of it loses all its lines
+    assert gone[2] == gone[3] == [12] and gone[4] == [] and gone[5] == list(range(6)) and gone[6] == [0, 1, 2]
+
+
+def keys_of(spark, lines):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    rows = line_texts(line_rows(df), 1).select("doc_id", "sid", "norm")
+    out = {i: set() for i in range(len(lines))}
+    for r in block_keys(rows).join(rows, "sid").collect():
+        out[r["doc_id"]].add(r["key"])
+    return [out[i] for i in range(len(lines))]
+
+
+def test_edits_move_the_blocks_of_their_stretch(spark):
+    a, b, c = 0b1100, 0b1010, 0b0111
+    assert spark.range(1).select(majority(F.lit(a), F.lit(b), F.lit(c))).first()[0] == 0b1110
+    rng = random.Random(2)
+    words = [f"word{rng.randint(0, 9999)}" for _ in range(24)]
+    long = [f"word{rng.randint(0, 9999)}" for _ in range(60)]
+    changed = lambda w, *at: " ".join(x + "x" if i in at else x for i, x in enumerate(w))
+    cells = "aqzwsxedcrfvtgbyhnujmikolp0987654321abcdefgh"
+    got = keys_of(spark, [
+        changed(words), changed(words, 9), changed(words, 9, 21), " ".join(["new", *words]), " ".join([*words, "new"]),
+        changed(long), changed(long, 7, 8), cells, cells[:8] + "-" + cells[9:], "x" + cells,
+        changed(words[::-1]), "".join(chr(0x4E00 + i * 7) for i in range(300))])
+    apart = [len(got[0] - x) for x in got]
+    assert len(got[0]) == 12 and apart[1:3] == [1, 2]
+    # a word put in moves the blocks of its half only
+    assert apart[3] == apart[4] == 6
+    assert len(got[5]) == 20 and len(got[5] - got[6]) == 1
+    assert len(got[7]) == 8 and len(got[7] - got[8]) == 1 and len(got[7] - got[9]) == 4
+    assert not got[0] & got[10] and len(got[11]) == 26
+
+
+def test_line_recall_over_spread_edits(spark, make_docs):
+    """Lines with letters changed all over, found by plain edit similarity: 95 % or more of them."""
+    rng = random.Random(4)
+    rows = line_texts(line_rows(spark.read.parquet(f"{SF}/documents.parquet")), 20)
+    lines = sorted(r["norm"] for r in rows.select("norm").distinct().collect() if len(r["norm"]) < 1000)
+    pairs = []
+    for line in rng.sample(lines, 600):
+        other, room = list(line), len(line) // 10
+        at = [i for i, x in enumerate(other) if x != " "]
+        for i in sorted(rng.sample(at, min(len(at), max(1, int(len(line) * rng.uniform(0.03, 0.09))))), reverse=True):
+            other[i:i + 1] = [rng.choice("abcdefghijklmnop"), "", other[i] + rng.choice("aeiou")][rng.choice([0, 0, 1, 2])]
+        text = " ".join("".join(other).split())
+        if text != line and abs(len(text) - len(line)) <= room:
+            pairs.append((line, text))
+    near = spark.createDataFrame(pairs, "a string, b string").where(
+        "levenshtein(a, b) * 10 <= greatest(length(a), length(b))").collect()
+    docs = make_docs([(2 * i + j, x) for i, r in enumerate(near) for j, x in enumerate(r)])
+    gone = {r["doc_id"] for r in drop_repeated_lines(docs).where("size(removed_lines) > 0").collect()}
+    assert len(near) > 500 and len({d // 2 for d in gone}) >= 0.95 * len(near)
 
 
 def test_forward_backward_against_enumeration():
@@ -222,23 +299,83 @@ def test_languages_of_messy_texts(make_docs, messy):
     assert detect_languages(messy.limit(0), field).count() == 0
 
 
-def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    counts = [docs.count()]
+def run_stages(spark, docs, sf_dir):
+    """What each stage but the last leaves, read again from Parquet."""
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, SF)
+        after = stage(spark, docs, sf_dir)
         assert sorted(after.columns) == sorted(docs.columns), name
         path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/stage-{name}-{random.getrandbits(60)}"
         after.write.parquet(path)
         docs = spark.read.parquet(path)
+        yield name, docs
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    counts = [docs.count()]
+    for _, docs in run_stages(spark, docs, SF):
         counts.append(docs.count())
-    assert counts[0] > counts[1] == counts[2] > counts[3] > counts[4] > 0
+    assert counts[0] > counts[1] > counts[2] > counts[3] > counts[4] > 0
     assert near_duplicate_classes(docs).where("doc_id <> class_id").count() == 0
-    assert drop_repeated_lines(docs).where("size(removed_lines) > 0").count() == 0
+    assert docs.where("size(split(trim(text), '\\\\s+')) < 50").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == counts[4]
 
 
+def planted_documents(rng):
+    """Documents of lines, with every case that a stage decides on."""
+    line = lambda n=14: " ".join(f"t{rng.randint(0, 10 ** 6)}" for _ in range(n))
+    text = lambda n=6: "\n".join(line() for _ in range(n))
+    item, footer = line(40), line(20)
+    rows = {i: text() for i in range(10)}
+    rows[20], rows[21] = rows[3], rows[3]                                       # exact copies
+    rows[22] = rows[4].replace("\n", " ")                                       # a copy in one line
+    rows[23] = "\n".join([*rows[5].split("\n")[:5], line()])                    # five of six lines elsewhere
+    rows[24] = "\n".join(x + "q" for x in rows[6].split("\n"))                  # all lines fuzzy copies
+    rows[25] = "\n".join(rows[7].split("\n")[:5])                               # a part
+    rows[26] = text() + "\n" + footer
+    rows[27] = text() + "\n" + footer[:-1] + "7"
+    rows[28] = text(3) + "\n" + item                                           # a benchmark passage
+    rows[29], rows[30], rows[31], rows[32] = None, "", " \n\t", "too short"
+    rows[33] = "\n".join([line(30)] * 9)                                        # repeats itself
+    rows[34] = rows[8] + "\n" + footer                                          # a copy and a footer
+    listed = list(rows.items()) + [(9, rows[9]), (9, rows[9]), (None, text()), (None, None)]
+    return listed, [("i1", item), ("i2", None), ("i3", line(30)), ("i3", "")]
+
+
+def test_pipeline_against_plain_python(spark, make_docs, tmp_path):
+    rows, items = planted_documents(random.Random(21))
+    docs = make_docs(rows).repartition(4)
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {name: sorted(hashed_rows(d), key=repr) for name, d in run_stages(spark, docs, str(tmp_path))}
+    ids = {name: [r[0] for r in kept] for name, kept in texts.items()}
+
+    # quality: too few words, or mostly repeats of its own
+    words = lambda text: (text or "").split()
+    bad = {29, 30, 31, 32, 33}
+    assert [r[:2] for r in texts["quality_rules"]] == sorted(
+        ((n, t) for n, t in rows if n not in bad and len(words(t)) >= 50), key=repr)
+    # lines: by edit similarity of all pairs, copies left alone; what is too short now goes
+    want = [(n, t) for n, t, gone in plain_lines(texts["quality_rules"], corpus_pipeline.COPY_SHARE)
+            if not gone or len(words(t)) >= 50]
+    assert [r[:2] for r in texts["line_dedup"]] == sorted(want, key=repr)
+    assert {20, 21, 34} <= set(ids["line_dedup"]) and not {23, 24, 25} & set(ids["line_dedup"])
+    # near duplicates: one of each group of shingle sets with a Jaccard similarity of 0.8 or more
+    sets = [shingles(t) for _, t, _ in texts["line_dedup"]]
+    links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2)
+             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    classes = len(set(roots(range(len(sets)), links).values()))
+    assert len(ids["minhash_near_dedup"]) == classes < len(sets)
+    assert not {20, 21, 22, 34} & set(ids["minhash_near_dedup"]) and ids["minhash_near_dedup"].count(9) == 1
+    # benchmark passages
+    assert ids["decontaminate"] == [n for n in ids["minhash_near_dedup"] if n != 28]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path))
+    assert packed.count() == 0
+    empty = docs.limit(0)
+    for _, empty in run_stages(spark, empty, str(tmp_path)):
+        assert empty.count() == 0
+
+
 def fuzzy_pairs(rng):
     """(line, its changed copy) within the similarity: words swapped, letters changed, put in or left out."""
     syllable = lambda: rng.choice("bcdfglmnrst") + rng.choice("aeiou") + rng.choice(["", "n", "r", "s"])
@@ -271,14 +408,8 @@ def test_short_and_unspaced_lines(make_docs):
     assert {r["doc_id"] for r in out if r["removed_lines"]} == {1, 7, 9}
 
 
-def test_edits_at_the_bound_and_rows_alike(spark, make_docs, monkeypatch):
+def test_edits_at_the_bound(spark, make_docs):
     assert spark.range(1).select(*[edit_room(F.lit(n), 0.9) for n in (19, 20, 50, 390)]).first()[:] == (1, 2, 5, 39)
     line = "table lamp carbon window market pencil garden stone"[:50]
     docs = make_docs([(1, line), (2, "XXXXX" + line[5:])])
     assert len(line) == 50 and drop_repeated_lines(docs).where("size(removed_lines) > 0").count() == 1
-    monkeypatch.setattr("spendspark.llm.line_dedup.MOST_WORDS", 150)
-    words = " ".join(f"v{i}" for i in range(120))
-    texts = line_texts(make_docs([(1, words)] * 3 + [(2, words)]))
-    assert [r["doc_id"] for r in line_hashes(texts).orderBy("doc_id").collect()] == [1, 2]
-    sims = {r["sim"] for r in line_hashes(texts).collect()}
-    assert sims == {r[0] for r in texts.select(simhash(F.split("norm", " "))).collect()} and len(sims) == 1
