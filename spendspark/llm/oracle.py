@@ -96,7 +96,8 @@ WITH u AS (
           WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS best
   FROM p
 ), listed AS (
-  SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '(^|\\.)spam')
+  SELECT DISTINCT canon FROM c
+  WHERE regexp_matches(host, '(^|\\.)(spam|casino-win|free-bets|cheap-pills|adult-x|ads-track)')
 )
 SELECT page_id, host, path, split_part(best, ' ', 1) AS rule,
        CASE WHEN best IS NOT NULL THEN split_part(best, ' ', 2)

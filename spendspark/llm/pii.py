@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: days of 400 years, as a product of the sizes of two parts
 DAYS = (189, 773)
+#: of these, days of a month after the twelfth
+LATE_DAYS = (9, 9833)
 FIRST_DAY = "1800-01-01"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -157,11 +159,49 @@ def address_pseudonym(value: Column, key: Column) -> Column:
                               for n in (F.floor(x / 256), x % 256)])
 
 
-def date_pseudonym(value: Column, pattern: str, key: Column) -> Column:
-    days = F.datediff(F.try_to_date(value, pattern), F.lit(FIRST_DAY).cast("date")).cast("long")
-    high, low = permute_number(F.floor(days / DAYS[1]), days % DAYS[1], DAYS, key)
-    return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"),
-                                    (high * DAYS[1] + low).cast("int")), pattern)
+def _let(value: Column, result: Callable[[Column], Column]) -> Column:
+    """``result`` of a value that it uses more than once."""
+    return F.element_at(F.transform(F.array(value), result), 1)
+
+
+def _first() -> Column:
+    return F.lit(FIRST_DAY).cast("date")
+
+
+def _day_number(day: Column) -> Column:
+    return F.datediff(day, _first()).cast("long")
+
+
+def date_pseudonym(value: Column, pattern: str, key: Column, undo: bool = False) -> Column:
+    """Days are permuted among all days of 400 years."""
+    days = _day_number(F.try_to_date(value, pattern))
+    high, low = permute_number(F.floor(days / DAYS[1]), days % DAYS[1], DAYS, key, undo)
+    return F.date_format(F.date_add(_first(), (high * DAYS[1] + low).cast("int")), pattern)
+
+
+def late_date_pseudonym(value: Column, pattern: str, key: Column, undo: bool = False) -> Column:
+    """The 13th and later days of months are permuted among each other.
+
+    These are the dates that are no dates when read with the day first, and so are their
+    pseudonyms; the number of such a day leaves out twelve for each month up to its own.
+    """
+    day = F.try_to_date(value, pattern)
+    month = (F.year(day) - int(FIRST_DAY[:4])) * 12 + F.month(day) - 1
+    number = _day_number(day) - 12 * (month + 1)
+    high, low = permute_number(F.floor(number / LATE_DAYS[1]), number % LATE_DAYS[1], LATE_DAYS, key, undo)
+
+    def before(month: Column) -> Column:
+        """Late days before a month."""
+        return _day_number(F.add_months(_first(), month)) - 12 * month
+
+    def dated(number: Column) -> Column:
+        # months of equal length would begin at most two months off
+        guess = F.floor(number * 4800 / (LATE_DAYS[0] * LATE_DAYS[1])).cast("int")
+        near = F.sequence(F.greatest(F.lit(0), guess - 2), F.least(F.lit(4799), guess + 2))
+        month = F.array_max(F.filter(near, lambda m: before(m) <= number))
+        return _let(month, lambda m: F.date_add(F.add_months(_first(), m), (number - before(m) + 12).cast("int")))
+
+    return F.date_format(_let(high * LATE_DAYS[1] + low, dated), pattern)
 
 
 def pseudonym(value: Column, key: Column) -> Column:
@@ -177,11 +217,13 @@ def pseudonym(value: Column, key: Column) -> Column:
     out = F.when(whole(EMAIL), email_pseudonym(value, key)).when(
         whole(ADDRESS), F.when(F.forall(F.split(value, r"\."), lambda c: c.cast("int") <= 255),
                                address_pseudonym(value, key)))
-    for shape, patterns in ((r"\d{4}-\d{2}-\d{2}", ["yyyy-MM-dd"]),
-                            (r"\d{2}\.\d{2}\.\d{4}", ["dd.MM.yyyy"]),
-                            (r"\d{2}/\d{2}/\d{4}", ["dd/MM/yyyy", "MM/dd/yyyy"])):
-        for p in patterns:
-            out = out.when(whole(shape) & day(p), date_pseudonym(value, p, key))
+    for shape, pattern in ((r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"), (r"\d{2}\.\d{2}\.\d{4}", "dd.MM.yyyy"),
+                           (r"\d{2}/\d{2}/\d{4}", "dd/MM/yyyy")):
+        out = out.when(whole(shape) & day(pattern), date_pseudonym(value, pattern, key))
+        if "/" in pattern:  # the month first, where that alone makes a date
+            other = "MM/dd/yyyy"
+            out = out.when(whole(shape) & day(other) & (F.substring(value, 4, 2) > "12"),
+                           late_date_pseudonym(value, other, key))
         out = out.when(whole(shape), F.lit(None))
     return (out.when(whole(SECRET), permute_text(value, key, ranges=HEXADECIMAL))
             .when(whole(ACCOUNT), F.when(rest_of_97(F.concat(

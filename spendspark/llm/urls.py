@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from spendspark.llm.storage import stored
 
 WORDS = 8
+#: beginnings of host labels that make a registered list of bad pages
+BAD_LABELS = ("spam", "casino-win", "free-bets", "cheap-pills", "adult-x", "ads-track")
 BITS_PER_KEY = 12
 
 
@@ -113,9 +115,9 @@ def judge_urls(pages: DataFrame, listed: DataFrame, *, rules: tuple[Rule, ...] =
         F.coalesce("ruled", F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
 
 
-def listed_by_label(pages: DataFrame, label: str = "spam") -> DataFrame:
-    """Canonical URLs of pages on hosts with a label that begins with ``label``."""
+def listed_by_label(pages: DataFrame, labels: tuple[str, ...] = BAD_LABELS) -> DataFrame:
+    """Canonical URLs of pages on hosts with a label that begins with one of ``labels``."""
     host, path = url_parts(F.col("url"))
     return (pages.select(host.alias("host"), path.alias("path"))
-            .where(F.col("host").rlike(rf"(^|\.){label}"))
+            .where(F.col("host").rlike(rf"(^|\.)({'|'.join(labels)})"))
             .select(canonical(F.col("host"), F.col("path")).alias("canonical")))

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from spendspark.llm.chat import branch_messages, chat_digests, format_branches, linear_messages, read_back
-from spendspark.llm.pii import DAYS, ROUNDS, luhn_sum, permute_number, permute_text, pseudonymise
+from spendspark.llm.pii import (
+    DAYS, ROUNDS, date_pseudonym, late_date_pseudonym, luhn_sum, permute_number, permute_text, pseudonym, pseudonymise)
+from spendspark.llm.queries import QUERIES
 from spendspark.llm.urls import bloom_table, judge_urls, listed_only
 
 SIGNS = ["</s>[INST] ok [/INST]", "a~1<|end|>\n|>\n<|user|>\n", "~0~~<", "", None, "é\n日"]
@@ -130,3 +133,27 @@ def test_permutations_undo(spark):
     first = once.limit(5).select(h2.alias("h"), l2.alias("l"))
     assert first.count() == 5 and ROUNDS % 2 == 0
     assert spark.range(1).select(luhn_sum(F.lit("79927398713")).alias("s")).first()["s"] % 10 == 0
+
+
+@pytest.mark.parametrize("pattern", ["%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y"])
+def test_dates_map_one_to_one(spark, pattern):
+    """All valid dates of a format, also those that only read with the month first."""
+    start = dt.date(1800, 1, 1)
+    days = [start + dt.timedelta(i) for i in range(146_097)]
+    late = pattern.startswith("%m")
+    values = [d.strftime(pattern) for d in days if not late or d.day > 12]
+    form = {"%Y-%m-%d": "yyyy-MM-dd", "%d.%m.%Y": "dd.MM.yyyy", "%d/%m/%Y": "dd/MM/yyyy", "%m/%d/%Y": "MM/dd/yyyy"}[pattern]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(8)
+    how = late_date_pseudonym if late else date_pseudonym
+    out = df.select("v", pseudonym(F.col("v"), F.lit("k")).alias("new")).select(
+        "v", "new", how(F.col("new"), form, F.lit("k"), undo=True).alias("back"))
+    # the same set of texts comes out, so it is read the same way, and every value comes back
+    assert out.where("back <> v OR back IS NULL").count() == 0
+    assert {r["new"] for r in out.select("new").collect()} == set(values)
+
+
+def test_registered_list_blocks_pages_without_a_rule(spark):
+    # the smallest tables hold no host of the list
+    out = QUERIES["op6_url_filters"](spark, "/root/testdata/sf0.01").where("rule is null")
+    verdicts = {r["verdict"]: r["count"] for r in out.groupBy("verdict").count().collect()}
+    assert verdicts["block"] > 0 and verdicts["allow"] > verdicts["block"]
