@@ -180,7 +180,7 @@ def test_lines_of_repeated_words(make_docs):
     assert {r["doc_id"]: r["removed_lines"] for r in out} == {0: [], 1: [0], 2: [0], 9: []}
 
 
-@pytest.mark.parametrize("limits", [{}, {"HOT": 2, "HOT_ROWS": 3, "SAMPLE": 1}, {"PAIRS": 2}, {"OFTEN": 1}])
+@pytest.mark.parametrize("limits", [{}, {"HOT": 2, "SAMPLE": 1}, {"HOT": 1, "SAMPLE": 1, "HOT_KEYS": 7}, {"OFTEN": 1}])
 def test_lines_against_all_pairs(make_docs, messy, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(f"spendspark.llm.line_dedup.{name}", value)
