@@ -18,6 +18,15 @@ from ..runtime import broadcast_if_small, compute_once, durable
 # one cell after its comma: quoted (with doubled quotes inside) or bare
 CELL = r',("(?:[^"]|"")*"[^,]*|[^,]*)'
 
+# a quote opens only at the start of a cell; elsewhere it is text
+_INSIDE = r'(?:[^"]|"")*+'
+_CELLS = rf'(?:(?:"{_INSIDE}"[^,]*+|[^",][^,]*+)?,)*+'
+OPENS = rf'^{_CELLS}"{_INSIDE}$'
+STAYS_OPEN = rf'^{_INSIDE}$'
+OPENS_AGAIN = rf'^{_INSIDE}"[^,]*+,{_CELLS}"{_INSIDE}$'
+#: a quoted cell that is not closed within so many lines is taken as one line that cannot be read
+MAX_RECORD_LINES = 100
+
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
     """Every line with its place: (file, byte offset of its split, line number)."""
@@ -49,58 +58,85 @@ def number_lines(lines: DataFrame) -> DataFrame:
         "source_file", "part_no", F.monotonically_increasing_id().alias("row_no"), "line")
 
 
+def opens_cell(line: Column) -> Column:
+    """Whether a line that begins a record ends inside a quoted cell."""
+    return line.contains('"') & line.rlike(OPENS)
+
+
+def _state_before(value: str, swaps: str, over: Window) -> Column:
+    """Whether the place before a row is inside a cell: what the last row that decides it says,
+    turned by the rows after it that only turn it; null where no row decides."""
+    last = F.last(F.when(F.col(value).isNotNull(), F.struct(value, swaps)), True).over(over)
+    here = F.coalesce(F.sum("swap").over(over), F.lit(0))
+    return F.when(last.isNotNull(), (F.when(last[value], 1).otherwise(0) + here - last[swaps]) % 2 == 1)
+
+
 def join_broken_records(lines: DataFrame) -> DataFrame:
     """Put records together that contain quoted line breaks.
 
-    A line whose quotes are odd in number opens or closes such a record. Quotes are
-    counted per split first, so a file is never gathered into one task: each split
-    only needs the parity before it and the place where a record was left open.
+    A line tells, for either state before it, whether a quoted cell is open after it. Such
+    functions follow each other per split first and then over the splits of a file, so a file
+    is never gathered into one task: each split only needs the state before it and the place
+    where a record was left open. A cell not closed within ``MAX_RECORD_LINES`` does not open:
+    its line is ``unclosed`` and the next ones are read on their own.
     """
-    odd = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2
-    lines = lines.withColumn("odd", odd)
-    # splits in file order; only counts per split are gathered here
-    per_split = lines.groupBy("source_file", "part_no").agg(F.sum("odd").alias("n_odd"))
-    before = Window.partitionBy("source_file").orderBy("part_no").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    per_split = per_split.select(
-        "source_file", "part_no",
-        F.coalesce(F.sum("n_odd").over(before), F.lit(0)).alias("odd_before"),
-    )
-    in_split = Window.partitionBy("source_file", "part_no").orderBy("row_no").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    to_here = in_split.rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        lines.join(per_split, ["source_file", "part_no"])
-        .withColumn(
-            "starts",
-            (F.col("odd_before") + F.coalesce(F.sum("odd").over(in_split), F.lit(0))) % 2 == 0,
-        )
-        .withColumn(
-            "start_here",
-            F.last(F.when(F.col("starts"), F.struct("part_no", "row_no")), True).over(to_here),
-        )
-    )
+    split = ["source_file", "part_no"]
+    in_split = Window.partitionBy(*split).orderBy("row_no")
+    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    here = in_split.rowsBetween(Window.unboundedPreceding, 0)
+    later = in_split.rowsBetween(1, Window.unboundedFollowing)
+    of_file = Window.partitionBy("source_file").orderBy("part_no")
+    before_split = of_file.rowsBetween(Window.unboundedPreceding, -1)
+
+    told = lines.withColumns({
+        "opens": opens_cell(F.col("line")),
+        "open_on": F.col("line").rlike(STAYS_OPEN) | F.col("line").rlike(OPENS_AGAIN),
+        "at": F.row_number().over(in_split).cast("long"),
+    }).withColumn("close", F.when(~F.col("open_on"), F.col("at")))
+    # the next line that closes a cell may be in a later split
+    sizes = told.groupBy(*split).agg(F.count("*").alias("n"), F.min("close").alias("first_close"))
+    sizes = sizes.withColumn("base", F.coalesce(F.sum("n").over(before_split), F.lit(0)))
+    sizes = sizes.withColumn("close_later", F.min(F.col("base") + F.col("first_close")).over(
+        of_file.rowsBetween(1, Window.unboundedFollowing)) - F.col("base")).select(*split, "close_later")
+    closed = F.coalesce(F.min("close").over(later), F.col("close_later")) - F.col("at") <= MAX_RECORD_LINES
+    lasting = told.join(sizes, split).withColumn("closed", F.coalesce(closed, F.lit(False)))
+    # a line decides the state after it, or keeps or turns the one before
+    turned = lasting.withColumns({
+        "unclosed": F.col("opens") & ~F.col("closed"), "opens": F.col("opens") & F.col("closed"),
+    }).withColumns({
+        "says": F.when(F.col("opens") == F.col("open_on"), F.col("opens")),
+        "swap": F.when(F.col("opens") & ~F.col("open_on"), 1).otherwise(0),
+    }).withColumn("swaps", F.sum("swap").over(here))
+
+    whole = turned.groupBy(*split).agg(
+        F.max_by(F.struct("says", "swaps"), F.when(F.col("says").isNotNull(), F.col("at"))).alias("last"),
+        F.sum("swap").alias("swap"))
+    whole = whole.withColumn("says", F.when(F.col("last").isNotNull(), (
+        F.when(F.col("last.says"), 1).otherwise(0) + F.col("swap") - F.col("last.swaps")) % 2 == 1))
+    whole = whole.withColumn("swap", F.when(F.col("says").isNull(), F.col("swap")).otherwise(0)).withColumn(
+        "swaps", F.sum("swap").over(of_file.rowsBetween(Window.unboundedPreceding, 0)))
+    entered = F.coalesce(_state_before("says", "swaps", before_split), F.coalesce(
+        F.sum("swap").over(before_split), F.lit(0)) % 2 == 1)
+    whole = whole.select(*split, entered.alias("entered"))
+
+    inside = F.coalesce(_state_before("says", "swaps", before), (
+        F.when(F.col("entered"), 1).otherwise(0) + F.coalesce(F.sum("swap").over(before), F.lit(0))) % 2 == 1)
+    placed = turned.join(whole, split).withColumn("starts", ~inside).withColumn(
+        "start_here", F.last(F.when(F.col("starts"), F.struct("part_no", "row_no")), True).over(here))
     # a split that begins inside a record continues the last record of an earlier one
-    last_start = (
-        placed.filter("starts")
-        .groupBy("source_file", "part_no")
-        .agg(F.max(F.struct("part_no", "row_no")).alias("last_start"))
-    )
-    carried = per_split.join(last_start, ["source_file", "part_no"], "left").select(
-        "source_file", "part_no",
-        F.last("last_start", True).over(before).alias("carried_start"),
-    )
+    last_start = placed.groupBy(*split).agg(
+        F.max(F.when(F.col("starts"), F.struct("part_no", "row_no"))).alias("last_start"))
+    carried = last_start.select(*split, F.last("last_start", True).over(before_split).alias("carried_start"))
     return (
-        placed.join(carried, ["source_file", "part_no"])
+        placed.join(carried, split)
         .withColumn("start", F.coalesce("start_here", "carried_start"))
         .groupBy("source_file", "start.part_no", "start.row_no")
         .agg(F.array_sort(F.collect_list(F.struct(
-            F.col("part_no").alias("p"), F.col("row_no").alias("r"), "line"))).alias("pieces"))
+            F.col("part_no").alias("p"), F.col("row_no").alias("r"), "line"))).alias("pieces"),
+            F.bool_or(F.col("unclosed") & F.col("starts")).alias("unclosed"))
         .select(
             "source_file", "part_no", "row_no",
-            F.array_join(F.col("pieces.line"), "\n").alias("line"),
+            F.array_join(F.col("pieces.line"), "\n").alias("line"), "unclosed",
         )
     )
 
@@ -118,29 +154,27 @@ def scan_records(
 ) -> DataFrame:
     """Records of CSV files as arrays of cells.
 
-    ``quoted_breaks``: whether records may span lines; ``None`` looks for files with
-    unbalanced lines first and puts only those through record assembly.
+    ``quoted_breaks``: whether records may span lines; ``None`` looks for files with lines
+    that end inside a cell first and puts only those through record assembly.
     """
     return records_of_lines(read_lines(spark, path, glob), quoted_breaks)
 
 
 def records_of_lines(lines: DataFrame, quoted_breaks: bool | None = None) -> DataFrame:
+    alone = lines.withColumn("unclosed", opens_cell(F.col("line")))
     if quoted_breaks is None:
-        broken = (
-            lines.filter(
-                (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1)
-            .select("source_file").distinct()
-        )
+        broken = lines.filter(opens_cell(F.col("line"))).select("source_file").distinct()
         if broken.isEmpty():
-            records = lines
+            records = alone
         else:
             broken = broadcast_if_small(durable(broken))
-            records = lines.join(broken, "source_file", "left_anti").unionByName(
+            records = alone.join(broken, "source_file", "left_anti").unionByName(
                 join_broken_records(lines.join(broken, "source_file", "left_semi")))
     else:
-        records = join_broken_records(lines) if quoted_breaks else lines
-    return records.select(
-        "source_file", "part_no", "row_no", "line", split_cells(F.col("line")).alias("cells"))
+        records = join_broken_records(lines) if quoted_breaks else alone
+    # the columns of a line with an open cell are anybody's guess: it is one cell
+    cells = F.when(F.col("unclosed"), F.array("line")).otherwise(split_cells(F.col("line")))
+    return records.select("source_file", "part_no", "row_no", "line", cells.alias("cells"))
 
 
 def _key(cell: Column) -> Column:

@@ -153,3 +153,48 @@ def test_table_rows_with_fallback(spark):
     assert [r["raw_line"] for r in unparsed.collect()] == ["Mar 07, 2024 x"]
     _, with_headings = text.pages_with_fallback(cells, texts, keep_orphans=True)
     assert {r["raw_line"] for r in with_headings.collect()} == {"Mar 07, 2024 x", "Date Details Amount"}
+
+
+def numbered_statement(rng, n):
+    """Rows with an id each: plain, quoted, with doubled quotes, line breaks and stray quotes."""
+    names = ['Paid to "shop', 'a "b" c', '"Paid, to ""X"", Y"', '"two\nlines"', '"three\n\nlines ""q"""', 'x"', "plain",
+             '"a" b', '""', '"ends with """', '5" pipe']
+    return [(f"2024-01-{1 + i % 28:02d},,{rng.choice(names)},DEBIT,{i + 1}.00,R{i}") for i in range(n)]
+
+
+@pytest.mark.parametrize("split_bytes", [64, 333, 1 << 20])
+def test_stray_and_doubled_quotes_match_csv_reader(spark, tmp_path, split_bytes):
+    text = HEADER + "\n".join(numbered_statement(random.Random(split_bytes), 150)) + "\n"
+    (tmp_path / "x.csv").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        rows, unparsed = csv.read_csv_statements(spark, str(tmp_path))
+        got = {r["reference_id"]: (r["counterparty_raw"], int(r["amount"])) for r in rows.collect()}
+        assert unparsed.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = {r[5]: (r[2].strip() or "Unknown", int(float(r[4]))) for r in list(pycsv.reader(io.StringIO(text, newline="")))[1:] if r}
+    assert len(want) == 150 and {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert {k: v[0] for k, v in got.items() if v[0] != fv.UNKNOWN} == {k: v[0] for k, v in want.items() if v[0] != "Unknown"}
+
+
+@pytest.mark.parametrize("split_bytes", [200, 1 << 20])
+def test_no_row_is_lost_to_an_unclosed_quote(spark, tmp_path, split_bytes):
+    """400 rows behind a stray quote, and one cell that nothing closes: all come out."""
+    lines = [f"2024-02-{1 + i % 28:02d},,Shop {i},DEBIT,{i + 1}.00,R{i}" for i in range(406)]
+    lines[6] = lines[6].replace("Shop", 'Paid to "shop')
+    (tmp_path / "a.csv").write_text(HEADER + "\n".join(lines) + "\n")
+    lines[200] = lines[200].replace("Shop", '"Shop')
+    (tmp_path / "b.csv").write_text(HEADER + "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    try:
+        rows, unparsed = csv.read_csv_statements(spark, str(tmp_path))
+        stats = {r["source_file"].rsplit("/", 1)[1]: (r["parsed"], r["unparsed"])
+                 for r in csv.parse_stats(rows, unparsed).collect()}
+        listed = [r["raw_line"] for r in unparsed.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert stats == {"a.csv": (406, 0), "b.csv": (405, 1)}
+    assert len(listed) == 1 and '"Shop 200' in listed[0]
