@@ -6,7 +6,7 @@ written last, so readers that start from ``runs`` only see complete runs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -67,9 +67,15 @@ class LedgerStore:
         return n
 
     def add_unparsed(self, unparsed: DataFrame, created_at, batch: str) -> None:
-        """Append unparsed rows that are not listed yet; listed ones never go."""
+        """Append unparsed rows that are not listed yet; listed ones never go.
+
+        Equal bad lines of a file are told apart by their number, in the order of the file: of
+        those that it has more than are listed, the last ones are new.
+        """
         keys = ["source_file", "raw_line", "reason"]
-        fresh = unparsed.join(self.read("unparsed").select(*keys).distinct(), keys, "left_anti")
+        listed = self.read("unparsed").groupBy(*keys).agg(F.count("*").alias("listed"))
+        numbered = number_equal(unparsed, keys)
+        fresh = numbered.join(listed, keys, "left").where(F.col("nth") > F.coalesce("listed", F.lit(0)))
         self.append("unparsed", fresh.withColumns({
             "created_at": F.lit(created_at).cast("timestamp"), "batch": F.lit(batch)}))
 
@@ -86,6 +92,18 @@ class LedgerStore:
         self.append("runs", run.join(self.read("runs").select("id"), "id", "left_anti"))
 
 
+def number_equal(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``nth``, from 1 among the rows with equal ``keys``: rows are counted within their
+    split, so a line that is bad all over a file does not meet in one task."""
+    part = [*keys, "part_no"]
+    before = Window.partitionBy(*keys).orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*part).agg(F.count("*").alias("n")).withColumn(
+        "before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy(*part).orderBy("row_no"))
+    return rows.withColumn("own", own).join(sizes, part).withColumn(
+        "nth", F.col("before") + F.col("own")).drop("before", "own")
+
+
 def new_rows(rows: DataFrame, stored: DataFrame, key: str = "dedup_key") -> DataFrame:
     """Rows whose key is not among the stored ones; only the key column is read there."""
     return rows.join(stored.select(key), key, "left_anti")

@@ -216,3 +216,20 @@ def test_totals_add_up(spark, ingested):
     _, store, _, _ = ingested
     rows = store.read("transactions").selectExpr("*", "0 as cluster_index", "'x' as label")
     assert month_totals(rows).agg(F.sum("total")).first()[0] == rows.agg(F.sum("amount")).first()[0]
+
+
+def test_equal_bad_lines_are_listed_each(spark, tmp_path):
+    """A file that gains bad lines equal to listed ones gets those listed, and no line twice."""
+    store, folder = LedgerStore(spark, str(tmp_path / "store")), tmp_path / "in"
+    folder.mkdir()
+    head, good, bad = "Date,Details,Type,Amount\n", "2024-01-02,Paid to A,DEBIT,5\n", "never,Paid to B,DEBIT,x\n"
+
+    def ingest(text):
+        (folder / "a.csv").write_text(head + text)
+        found = ingest_path(spark, store, str(folder))
+        return found["parsed"], found["unparsed"], store.read("unparsed").count()
+
+    assert ingest(good + bad + bad) == (1, 2, 2)
+    assert ingest(good + bad + bad) == (1, 2, 2)
+    assert ingest(bad + good + bad + "other,,,\n" + bad * 3) == (1, 6, 6)
+    assert store.read("unparsed").groupBy("raw_line").count().orderBy("count").collect()[-1]["count"] == 5
