@@ -133,7 +133,7 @@ def cleaned_as(cte: str, source: str, name: str) -> str:
 
 
 CLEAN = KEYED + PAIRS + [cleaned_as("cleaned", "keyed", "scrubbed")]
-SPEND = CLEAN + ["spend AS (SELECT * FROM cleaned WHERE txn_kind = 'spend')"]
+SPEND = CLEAN + ["spend AS MATERIALIZED (SELECT * FROM cleaned WHERE txn_kind = 'spend')"]
 
 
 def gaps_cte(cte: str, source: str, merchant: str) -> str:
@@ -251,7 +251,7 @@ FUZZY = KEYED + [
 # --- runs ------------------------------------------------------------------------------
 HASH = "(length(counterparty_normalized) + ascii(counterparty_normalized))"
 RUNS = SPEND + [
-    f"""assigned AS (
+    f"""assigned AS MATERIALIZED (
   SELECT id AS transaction_id, run_id, {HASH} % m AS cluster_index,
     CAST(amount AS DOUBLE) / 1000 AS distance_to_centroid, ln(1 + CAST(amount AS DOUBLE)) AS pca_x,
     day(txn_date) / 31.0::DOUBLE AS pca_y, amount >= 20000 AS is_anomaly,
