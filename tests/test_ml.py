@@ -223,6 +223,30 @@ def test_density_outliers_against_brute_force(spark, d, n, eps):
     assert {r[0] for r in got.collect()} == brute_noise(x, eps)
 
 
+@pytest.mark.parametrize("leaf, deepest", [(64, 30), (4, 30), (4, 2)])
+def test_density_outliers_with_crowded_boxes(spark, monkeypatch, leaf, deepest):
+    """A crowd that the radius of single points cuts, a third of all rows equal, a null."""
+    monkeypatch.setattr(anomaly, "LEAF_VECTORS", leaf)
+    monkeypatch.setattr(anomaly, "MAX_LEVEL", deepest)
+    rng = np.random.default_rng(7)
+    angle = rng.random(40) * 2 * np.pi
+    ring = np.stack([np.cos(angle), np.sin(angle)], 1) * rng.uniform(0.9, 1.25, (40, 1))
+    x = np.concatenate([
+        rng.normal(size=(900, 2)) * 0.06, ring, np.full((500, 2), -0.0), np.full((3, 2), 4.0),
+        [[0.0, 5.0]], [[-0.0, 5.0]], rng.uniform(-6, 6, (60, 2))])
+    df = frame(spark, x).unionByName(frame(spark, x[:1]).withColumns(
+        {COLS[0]: F.lit(None).cast("double"), "transaction_id": F.lit(None).cast(
+            frame(spark, x[:1]).schema["transaction_id"].dataType)}))
+    got = anomaly.density_outliers(df, COLS[:2], eps=1.0)
+    expected = brute_noise(x, 1.0)
+    assert len(expected) > 5
+    assert sorted(r[0] for r in got.collect()) == sorted(expected)
+
+
+def test_density_outliers_of_nothing(spark):
+    assert anomaly.density_outliers(frame(spark, np.zeros((1, 2))).limit(0), COLS[:2]).count() == 0
+
+
 def test_density_eps(spark):
     x, _ = blobs(5)
     df = frame(spark, x)
