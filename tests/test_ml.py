@@ -223,7 +223,7 @@ def test_density_outliers_against_brute_force(spark, d, n, eps):
     assert {r[0] for r in got.collect()} == brute_noise(x, eps)
 
 
-@pytest.mark.parametrize("leaf, deepest", [(64, 30), (4, 30), (4, 2)])
+@pytest.mark.parametrize("leaf, deepest", [(1024, 30), (4, 30), (4, 2)])
 def test_density_outliers_with_crowded_boxes(spark, monkeypatch, leaf, deepest):
     """A crowd that the radius of single points cuts, a third of all rows equal, a null."""
     monkeypatch.setattr(anomaly, "LEAF_VECTORS", leaf)
