@@ -11,34 +11,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import compute_once
+
 
 def words_of(name: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")), " ")
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) > 0)))
 
 
-def indel_distance():
-    """Pandas UDF: insertions plus deletions between two short texts (bit-parallel LCS)."""
+#: characters of a text that one 64-bit number holds; the rest is room for the carry
+LANE = 62
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda ch: ch != "")
+
+
+def _low_bits(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int")) - F.lit(1)
+
+
+def _places(characters: Column, ch: Column) -> Column:
+    """Bit i is set where character i is ``ch``."""
+    return F.aggregate(
+        F.transform(characters, lambda x, i: F.when(
+            x == ch, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(
+            F.lit(0).cast("bigint"))),
+        F.lit(0).cast("bigint"), lambda acc, bit: acc.bitwiseOR(bit))
+
+
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts, in code points.
+
+    The bit-vector recurrence: a bit of the row is cleared where the subsequence grows, and
+    one addition moves all places of the shorter text on by a character of the longer one.
+    Texts of over ``LANE`` characters take several numbers, and the addition carries over.
+    """
+    first = F.length(a) <= F.length(b)
+    x, y = _characters(F.when(first, a).otherwise(b)), _characters(F.when(first, b).otherwise(a))
+    n = F.least(F.length(a), F.length(b))
+
+    def step(row: Column, ch: Column) -> Column:
+        hit = row.bitwiseAND(_places(x, ch))
+        return (row + hit).bitwiseOR(row - hit).bitwiseAND(_low_bits(n))
+
+    short = n - F.bit_count(F.aggregate(y, _low_bits(n), step))
+
+    lanes = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / LANE).cast("int")),
+                        lambda i: F.slice(x, i * LANE + 1, F.lit(LANE)))
+
+    def lane_step(state: Column, at: Column, ch: Column) -> Column:
+        row, lane = at["row"], at["lane"]
+        hit = row.bitwiseAND(_places(lane, ch))
+        added = row + hit + state["carry"]
+        kept = added.bitwiseOR(row - hit).bitwiseAND(_low_bits(F.size(lane)))
+        return F.struct(
+            F.concat(state["rows"], F.array(kept)).alias("rows"),
+            F.shiftright(added, LANE).alias("carry"))
 
-    @F.pandas_udf("int")
-    def distance(a, b):
-        import pandas as pd
+    def long_step(rows: Column, ch: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("rows"), F.lit(0).cast("bigint").alias("carry"))
+        both = F.zip_with(rows, lanes, lambda row, lane: F.struct(row.alias("row"), lane.alias("lane")))
+        return F.aggregate(both, start, lambda state, at: lane_step(state, at, ch), lambda state: state["rows"])
 
-        def one(x: str, y: str) -> int:
-            where: dict[str, int] = {}
-            for i, ch in enumerate(x):
-                where[ch] = where.get(ch, 0) | (1 << i)
-            full = (1 << len(x)) - 1
-            row = full
-            for ch in y:
-                hit = row & where.get(ch, 0)
-                row = ((row + hit) | (row - hit)) & full
-            lcs = len(x) - bin(row).count("1")
-            return len(x) + len(y) - 2 * lcs
+    rows = F.aggregate(y, F.transform(lanes, lambda lane: _low_bits(F.size(lane))), long_step)
+    long = n - F.aggregate(rows, F.lit(0), lambda acc, row: acc + F.bit_count(row))
+    return F.when(n == 0, F.lit(0)).when(n <= LANE, short).otherwise(long)
 
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
 
-    return distance
+def indel_distance(a: Column, b: Column) -> Column:
+    """Insertions plus deletions that turn one text into the other."""
+    return F.length(a) + F.length(b) - 2 * common_subsequence(a, b)
 
 
 def _share(distance: Column, length: Column) -> Column:
@@ -48,9 +91,9 @@ def _share(distance: Column, length: Column) -> Column:
 def token_set_score(pairs: DataFrame, a: str, b: str, at_least: float = 0.0) -> DataFrame:
     """Add ``score`` to pairs of names.
 
-    Everything but the edit distance is built in, and it is only computed for pairs that
-    word sets leave open and that can still reach ``at_least``: an edit distance is never
-    below the Levenshtein distance or the difference in length.
+    The edit distance is only computed for pairs that word sets leave open and that can
+    still reach ``at_least``: it is never below the Levenshtein distance or the difference
+    in length.
     """
     wa, wb = words_of(F.col(a)), words_of(F.col(b))
     out = pairs.withColumns({"_wa": wa, "_wb": wb})
@@ -74,11 +117,8 @@ def token_set_score(pairs: DataFrame, a: str, b: str, at_least: float = 0.0) ->
         "_known": F.when(blank, F.lit(0.0)).when(contained, F.lit(100.0)),
         "_beside": beside,
     }).withColumn("_open", F.col("_known").isNull() & may_reach)
-    # closed pairs cross into Python as empty texts
-    distance = indel_distance()(
-        F.when(F.col("_open"), F.col("_da")).otherwise(F.lit("")),
-        F.when(F.col("_open"), F.col("_db")).otherwise(F.lit("")))
-    out = out.withColumn("_distance", distance)
+    # the score is read by filters too: computed once
+    out = compute_once(out, {"_distance": F.when(F.col("_open"), indel_distance(F.col("_da"), F.col("_db")))})
     edited = F.when(F.col("_open"), _share(F.col("_distance"), F.col("_total"))).otherwise(F.lit(0.0))
     score = F.coalesce("_known", F.greatest(edited, F.col("_beside")))
     return out.withColumn("score", score).drop(

@@ -11,8 +11,10 @@ here without visiting names one by one and without comparing all pairs:
   and lose no pair; every candidate is then scored.
 * Names are taken in batches from the top of the order. Inside a batch the leaders are
   found from its similar pairs; then only leaders meet the remaining names, so a crowd of
-  near-copies costs one comparison each. A batch whose pairs would exceed ``pair_budget``
-  is made smaller.
+  near-copies costs one comparison each. Pairs are estimated from key counts before they
+  are formed: a batch with more than ``pair_budget`` among its own names is made smaller,
+  leaders with more against the rest meet it in several parts.
+* A key that many names share is dealt over pieces of either side, so none is one task.
 """
 
 from __future__ import annotations
@@ -31,9 +33,20 @@ def name_counts(rows: DataFrame, name: str = "counterparty_normalized") -> DataF
 
 
 def ranked_names(names: DataFrame) -> DataFrame:
-    """Names with a ``rank`` that grows along (most frequent first, then by name)."""
-    ordered = names.orderBy(F.desc("n"), "name")
-    return durable(ordered.withColumn("rank", F.monotonically_increasing_id()))
+    """Names with a gapless ``rank`` from 0 (most frequent first, then by name).
+
+    The driver sees one count for each sorted partition.
+    """
+    ordered = durable(names.orderBy(F.desc("n"), "name").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = sorted(ordered.groupBy(part.alias("_part")).agg(F.count("*")).collect())
+    starts, total = [], 0
+    for number, rows in counts:
+        starts.append((number, total))
+        total += rows
+    starts = names.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    return ordered.withColumn("_part", part).join(F.broadcast(starts), "_part").select(
+        "name", "n", (F.col("_start") + F.col("_at") - F.shiftleft("_part", 33)).alias("rank"))
 
 
 def name_keys(ranked: DataFrame, threshold: float) -> DataFrame:
@@ -90,17 +103,44 @@ def _exploded(names: DataFrame, side: str) -> DataFrame:
     return names.select(F.col("rank").alias(f"{side}_rank"), F.explode(f"{side}keys").alias("key"))
 
 
-def pair_estimate(left: DataFrame, right: DataFrame) -> int:
-    """Upper bound of the pairs that ``candidate_pairs`` forms, without forming them."""
-    a = _exploded(left, "l").groupBy("key").agg(F.count("*").alias("a"))
-    b = _exploded(right, "r").groupBy("key").agg(F.count("*").alias("b"))
-    return int(a.join(b, "key").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0)
+#: names under one key of either side up to which they meet in one piece
+LEFT_PIECE, RIGHT_PIECE = 1_000, 10_000
+
+
+def key_weights(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(key, l_names, r_names) of the keys that both sides have."""
+    a = _exploded(left, "l").groupBy("key").agg(F.count("*").alias("l_names"))
+    b = _exploded(right, "r").groupBy("key").agg(F.count("*").alias("r_names"))
+    return durable(a.join(b, "key"))
+
+
+def pair_estimate(weights: DataFrame) -> int:
+    """Upper bound of the pairs that ``similar_pairs`` forms, without forming them."""
+    return int(weights.agg(F.sum(F.col("l_names") * F.col("r_names"))).first()[0] or 0)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def _dealt(names: DataFrame, side: str, crowded: DataFrame) -> DataFrame:
+    """Keys of one side; those of a crowded key lie in one own piece and in all of the other's."""
+    other = "r" if side == "l" else "l"
+    joined = _exploded(names, side).join(crowded, "key", "left")
+    own = F.coalesce(F.pmod(F.xxhash64(f"{side}_rank"), F.col(f"{side}_pieces")), F.lit(0))
+    all_of_other = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(f"{other}_pieces"), F.lit(1)) - 1)
+    return joined.select(
+        f"{side}_rank", "key", own.alias(f"{side}_piece"),
+        F.explode(all_of_other).alias(f"{other}_piece"))
+
+
+def similar_pairs(
+    left: DataFrame, right: DataFrame, threshold: float, weights: DataFrame | None = None
+) -> DataFrame:
     """(l_rank, r_rank, score) with l_rank before r_rank and a score over the threshold."""
+    weights = key_weights(left, right) if weights is None else weights
+    crowded = broadcast_if_small(durable(
+        weights.filter((F.col("l_names") > LEFT_PIECE) | (F.col("r_names") > RIGHT_PIECE)).select(
+            "key", F.ceil(F.col("l_names") / LEFT_PIECE).alias("l_pieces"),
+            F.ceil(F.col("r_names") / RIGHT_PIECE).alias("r_pieces"))))
     pairs = (
-        _exploded(left, "l").join(_exploded(right, "r"), "key")
+        _dealt(left, "l", crowded).join(_dealt(right, "r", crowded), ["key", "l_piece", "r_piece"])
         .filter("l_rank < r_rank").select("l_rank", "r_rank").distinct()
     )
     named = (
@@ -130,34 +170,54 @@ def batch_members(edges: DataFrame) -> DataFrame | None:
     return members
 
 
+def batch_cut(open_names: DataFrame, size: int) -> int | None:
+    """Rank below which about ``size`` names are open; null where none is left."""
+    width = max(1, size // 4)
+    counts = (
+        open_names.groupBy(F.floor(F.col("rank") / width).alias("step")).agg(F.count("*").alias("n"))
+        .orderBy("step").limit(64).collect())
+    taken = 0
+    for row in counts:
+        taken += row["n"]
+        if taken >= size:
+            break
+    return (row["step"] + 1) * width if counts else None
+
+
 def canonical_names(
     names: DataFrame, threshold: float = 88.0, batch_rows: int = 20_000,
     max_batch_rows: int = 1_000_000, pair_budget: int = 200_000_000,
 ) -> DataFrame:
     """(name, n, canonical, score) for names with their counts ``n``."""
-    ranked = ranked_names(names)
+    ranked = durable(ranked_names(names))
     open_names = durable(name_keys(ranked, threshold))
     leaders_of = None  # (rank, leader, score)
     size = batch_rows
     while True:
-        top = open_names.select("rank").orderBy("rank").limit(size).agg(
-            F.max("rank").alias("cut"), F.count("*").alias("n")).first()
-        if not top["n"]:
+        cut = batch_cut(open_names, size)
+        if cut is None:
             break
-        batch = open_names.filter(F.col("rank") <= top["cut"])
-        if top["n"] > 1 and pair_estimate(batch, batch) > pair_budget:
-            size = max(1, top["n"] // 4)
+        batch = open_names.filter(F.col("rank") < cut)
+        weights = key_weights(batch, batch)
+        if size > 1 and pair_estimate(weights) > pair_budget:
+            size = max(1, size // 4)
             continue
-        edges = durable(similar_pairs(batch, batch, threshold))
+        edges = durable(similar_pairs(batch, batch, threshold, weights))
         members = batch_members(edges)
         leaders = batch
         if members is not None:
-            leaders = batch.join(members.withColumnRenamed("r_rank", "rank"), "rank", "left_anti")
-        rest = open_names.filter(F.col("rank") > top["cut"])
+            leaders = durable(batch.join(members.withColumnRenamed("r_rank", "rank"), "rank", "left_anti"))
+        rest = open_names.filter(F.col("rank") >= cut)
         reached = edges.join(leaders.select(F.col("rank").alias("l_rank")), "l_rank", "left_semi")
-        last = top["n"] < size
+        last = rest.isEmpty()
         if not last:
-            reached = reached.unionByName(similar_pairs(leaders, rest, threshold))
+            weights = key_weights(leaders, rest)
+            parts = -(-pair_estimate(weights) // pair_budget)
+            if parts == 1:
+                reached = reached.unionByName(similar_pairs(leaders, rest, threshold, weights))
+            for part in range(parts if parts > 1 else 0):
+                some = leaders.filter(F.pmod(F.xxhash64("rank"), F.lit(parts)) == part)
+                reached = reached.unionByName(durable(similar_pairs(some, rest, threshold)))
         claims = durable(
             reached.groupBy("r_rank").agg(F.min(F.struct("l_rank", "score")).alias("best"))
             .select(F.col("r_rank").alias("rank"), F.col("best.l_rank").alias("leader"),

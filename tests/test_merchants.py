@@ -4,7 +4,10 @@ import random
 
 import pytest
 
-from spendspark.functions.similarity import token_set_score
+from pyspark.sql import functions as F
+
+from spendspark.functions.similarity import indel_distance, token_set_score
+from spendspark.operators import merchants
 from spendspark.operators.merchants import canonical_names, name_keys, ranked_names
 
 
@@ -82,6 +85,14 @@ def test_score_random_and_cutoff(spark):
     assert cut == {p for p in pairs if score(*p) >= 88}
 
 
+def test_edit_distance_of_any_length(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abé😀 c") for _ in range(n)) for n in (0, 1, 2, 30, 61, 62, 63, 64, 124, 125, 190)]
+    pairs = [(x, y) for x in texts for y in texts] + [("a" * 130, "a" * 200), ("ab" * 70, "ba" * 70)]
+    df = spark.createDataFrame(pairs, "x string, y string").withColumn("d", indel_distance(F.col("x"), F.col("y")))
+    assert {(r["x"], r["y"]): r["d"] for r in df.collect()} == {p: indel(*p) for p in pairs}
+
+
 @pytest.mark.parametrize("threshold", [70, 88, 95])
 def test_keys_lose_no_pair(spark, threshold):
     names = random_names(2, 400)
@@ -102,6 +113,19 @@ def test_canonical_names_equal_greedy(spark, n, batch_rows, pair_budget):
     assert all(r["score"] == pytest.approx(score(r["name"], r["canonical"])) for r in got)
 
 
+def test_crowded_keys_are_dealt_over_pieces(spark, monkeypatch):
+    monkeypatch.setattr(merchants, "LEFT_PIECE", 3)
+    monkeypatch.setattr(merchants, "RIGHT_PIECE", 5)
+    names = random_names(4, 120)
+    df = spark.createDataFrame(names, "name string, n long")
+    got = canonical_names(df, 88, batch_rows=40).collect()
+    assert {r["name"]: r["canonical"] for r in got} == greedy(names)
+    ranked = merchants.durable(name_keys(ranked_names(df), 88))
+    pairs = merchants.similar_pairs(ranked, ranked, 88)
+    plan = pairs._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "SinglePartition" not in plan
+
+
 def test_crowd_of_near_copies(spark):
     names = [(f"RELIANCE FRESH {i:04d}", 1) for i in range(300)] + [("RELIANCE FRESH", 500)]
     got = canonical_names(spark.createDataFrame(names, "name string, n long"), pair_budget=2000).collect()
