@@ -234,23 +234,3 @@ def canonical_names(
     by_leader = ranked.select(F.col("rank").alias("leader"), F.col("name").alias("canonical"))
     return ranked.join(leaders_of, "rank").join(by_leader, "leader").select(
         "name", "n", "canonical", "score")
-
-
-def name_mapping(
-    rows: DataFrame, threshold: float = 88.0, name: str = "counterparty_normalized", **kwargs
-) -> DataFrame:
-    """(name, canonical) of the names in ``rows`` that belong to another name."""
-    return canonical_names(name_counts(rows, name), threshold, **kwargs).filter(
-        F.col("name") != F.col("canonical")).select("name", "canonical")
-
-
-def apply_mapping(
-    rows: DataFrame, mapping: DataFrame, name: str = "counterparty_normalized"
-) -> DataFrame:
-    """Replace each name by its canonical one."""
-    changed = mapping.select(F.col("name").alias(name), "canonical")
-    return (
-        rows.join(broadcast_if_small(durable(changed)), name, "left")
-        .withColumn(name, F.coalesce("canonical", name))
-        .drop("canonical")
-    )

@@ -9,8 +9,26 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..operators import clean as ops
-from ..operators.merchants import apply_mapping, name_mapping
+from ..operators.merchants import canonical_names
 from ..operators.transfers import offset_kinds, tag_offsets
+from ..runtime import broadcast_if_small, durable
+
+
+def grouped_names(kept: DataFrame, rows: DataFrame, threshold: float, mask_first: bool) -> DataFrame:
+    """Add ``counterparty_normalized`` to ``kept``, grouped over all ``rows``.
+
+    Each distinct raw name is scrubbed once and brings its canonical name back by one join.
+    """
+    raw = durable(ops.add_scrubbed(
+        rows.groupBy("counterparty_raw").agg(F.count("*").alias("n")), mask_first))
+    counts = raw.groupBy(F.col("counterparty_normalized").alias("name")).agg(F.sum("n").alias("n"))
+    canonical = canonical_names(counts, threshold).select(
+        F.col("name").alias("counterparty_normalized"), "canonical")
+    names = durable(raw.join(canonical, "counterparty_normalized", "left").select(
+        F.col("counterparty_raw").alias("_raw"),
+        F.coalesce("canonical", "counterparty_normalized").alias("counterparty_normalized")))
+    return kept.join(
+        broadcast_if_small(names), F.col("counterparty_raw").eqNullSafe(F.col("_raw")), "left").drop("_raw")
 
 
 def clean_ledger(
@@ -28,11 +46,11 @@ def clean_ledger(
     ``fuzzy_threshold`` is None), overridden and masked on what is left. Copies still take
     part in pairing and in the counts that rank names.
     """
-    kept = ops.first_of_each(ops.add_keys(tag_offsets(rows)))
-    named = ops.add_scrubbed(ops.add_reference_hash(kept), mask_first)
-    if fuzzy_threshold is not None:
-        names = ops.add_scrubbed(rows.select("counterparty_raw"), mask_first)
-        named = apply_mapping(named, name_mapping(names, fuzzy_threshold))
+    kept = ops.add_reference_hash(ops.first_of_each(ops.add_keys(tag_offsets(rows))))
+    if fuzzy_threshold is None:
+        named = ops.add_scrubbed(kept, mask_first)
+    else:
+        named = grouped_names(kept, rows, fuzzy_threshold, mask_first)
     named = ops.mask_names(ops.apply_overrides(named, overrides))
     kinds = offset_kinds(ops.rule_kinds(named, owner_terms, whole_word))
     return kinds.withColumn("id", F.col("dedup_key"))
