@@ -697,6 +697,8 @@ SELECT id, CAST(ci AS BIGINT) AS cluster_index, {r6('d')} AS distance_to_centroi
   SELECT x.id, c.ci, sqrt({_dist}) AS d FROM nw x, ctr c)
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, ci) = 1""")
 
+O["score_stream_rows"] = O["score_new_rows"]
+
 _norm = " + ".join(f"power({c}, 2)" for c in CLUSTERING)
 O["dbscan_eps"] = with_(
     VECTORS[:2], SCALED,
@@ -840,6 +842,14 @@ SELECT call,
   count(*) FILTER (NOT bad AND (call = 1 OR k % 7 <> 6)) AS stored,
   count(*) FILTER (bad AND (call = 1 OR k % 7 <> 6)) AS listed
 FROM calls, o GROUP BY call"""
+O["ingest_stream_outcome"] = """
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 10 = 3 AS bad, CAST(o_totalprice AS DECIMAL(14,2)) AS price FROM orders),
+calls AS (SELECT unnest([0, 1]) AS call)
+SELECT call,
+  count(*) FILTER (NOT bad AND (call = 1 OR k % 7 <> 6)) AS stored,
+  CAST(sum(price) FILTER (NOT bad AND (call = 1 OR k % 7 <> 6)) AS DOUBLE) AS amount,
+  count(*) FILTER (bad AND (call = 1 OR k % 7 <> 6)) AS listed
+FROM calls, o GROUP BY call"""
 O["kmeans_facts"] = with_(SPEND, select="""
 SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n_nearer_elsewhere,
   true AS centers_are_means, true AS cost_adds_up FROM spend""")

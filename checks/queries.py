@@ -26,6 +26,8 @@ from spendspark.runtime import durable, scratch_path
 from spendspark.sources import csv_statement as csv
 from spendspark.sources import registry
 from spendspark.sources import text_statement as text
+from spendspark.streaming.ingest_stream import ingest_stream
+from spendspark.streaming.score_stream import score_stream
 
 from . import inputs
 
@@ -476,9 +478,8 @@ def pca_2d(spark, sf_dir):
     return placed.select("transaction_id", "pca_x", "pca_y")
 
 
-@query
-def score_new_rows(spark, sf_dir):
-    """A run fitted before a date places the rows from that date on."""
+def _run_before_cut(spark, sf_dir):
+    """Rows from a date on, with profile, scaler and centers of a run fitted before it."""
     rows = durable(spend(spark, sf_dir))
     old, new = rows.filter(F.col("txn_date") < F.lit(CUT)), rows.filter(F.col("txn_date") >= F.lit(CUT))
     f = durable(features.build_features(old))
@@ -486,10 +487,26 @@ def score_new_rows(spark, sf_dir):
     group = F.when(F.col("log_amount") < 6, 0).when(F.col("log_amount") < 8, 1).otherwise(2)
     means = kmeans.raw_centroids(scaler.transform(f.withColumn("cluster_index", group)), COLUMNS)
     centers = [[r[c] for c in COLUMNS] for r in means.orderBy("cluster_index").collect()]
-    return score_new(new.select("id", "amount", MERCHANT), run_profile(old), scaler, centers).select(
+    return new.select("id", "amount", MERCHANT), run_profile(old), scaler, centers
+
+
+@query
+def score_new_rows(spark, sf_dir):
+    """A run fitted before a date places the rows from that date on."""
+    return score_new(*_run_before_cut(spark, sf_dir)).select(
         "id", "cluster_index", "distance_to_centroid")
 
 
+@query
+def score_stream_rows(spark, sf_dir):
+    """The same rows, arriving as a stream of files."""
+    new, profile, scaler, centers = _run_before_cut(spark, sf_dir)
+    arriving, scored, progress = (scratch_path(spark, n) for n in ("arriving", "scored", "progress"))
+    new.write.parquet(arriving)
+    score_stream(spark, arriving, new.schema, durable(profile), scaler, centers, scored, progress).awaitTermination()
+    return spark.read.parquet(scored).select("id", "cluster_index", "distance_to_centroid")
+
+
 # --- anomalies -------------------------------------------------------------------------
 @query
 def dbscan_eps(spark, sf_dir):
@@ -735,6 +752,19 @@ def ingest_outcome(spark, sf_dir):
                                       "skipped long, stored long, listed long")
 
 
+@query
+def ingest_stream_outcome(spark, sf_dir):
+    """A stream over the same files, started again once the last seventh has arrived."""
+    path, store = scratch_path(spark, "files"), LedgerStore(spark, scratch_path(spark, "store"))
+    progress, out = scratch_path(spark, "progress"), []
+    for call, rule in enumerate(["o_orderkey % 7 <> 6", "o_orderkey % 7 = 6"]):
+        _statement_files(spark, sf_dir, path, rule)
+        ingest_stream(spark, store, path, progress, fuzzy_threshold=None).awaitTermination()
+        ledger = store.read("transactions").agg(F.count("*"), F.sum("amount").cast("double")).first()
+        out.append((call, *ledger, store.read("unparsed").count()))
+    return spark.createDataFrame(out, "call long, stored long, amount double, listed long")
+
+
 @query
 def kmeans_facts(spark, sf_dir):
     """What any fit must satisfy: rows sit at their nearest center, centers are their means,
