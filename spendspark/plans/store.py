@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.dates import month_of
+from ..operators.reads import resolve_run
 
 TABLES = {
     "transactions": (schema.TRANSACTIONS, ["month"]),
@@ -19,7 +20,7 @@ TABLES = {
     "clusters": (schema.CLUSTERS, ["run_id"]),
     "assignments": (schema.ASSIGNMENTS, ["run_id"]),
     "insights": (schema.INSIGHTS, ["run_id"]),
-    "features": (schema.FEATURES, []),
+    "features": (f"{schema.FEATURES}, run_id string", ["run_id"]),
 }
 
 
@@ -79,14 +80,24 @@ class LedgerStore:
         self.append("unparsed", fresh.withColumns({
             "created_at": F.lit(created_at).cast("timestamp"), "batch": F.lit(batch)}))
 
+    def features(self, run_id: str | None = None) -> DataFrame:
+        """Features of a run, by default the newest complete one; none before the first run."""
+        run = resolve_run(self.read("runs"), run_id)
+        return self.read("features").filter(F.col("run_id") == F.lit(run)).drop("run_id")
+
     # --- runs --------------------------------------------------------------------
     def write_run(
         self, run: DataFrame, clusters: DataFrame, assignments: DataFrame,
         insights: DataFrame, features: DataFrame,
     ) -> None:
-        self.append("features", features, mode="overwrite")
-        # a repeated write of the same run replaces its partition
-        for table, df in (("clusters", clusters), ("assignments", assignments),
+        """Write the parts of a run under its id, then the row that makes it visible.
+
+        A write that fails on the way leaves the former runs as they were, features included;
+        a repeated one replaces the parts of its own run.
+        """
+        run_id = run.select("id").first()["id"]
+        for table, df in (("features", features.withColumn("run_id", F.lit(run_id))),
+                          ("clusters", clusters), ("assignments", assignments),
                           ("insights", insights)):
             self.append(table, df, mode="overwrite")
         self.append("runs", run.join(self.read("runs").select("id"), "id", "left_anti"))

@@ -127,12 +127,31 @@ def test_repeated_run_is_one(spark, tmp_path, ingested):
     assert store.read("runs").count() == 1 and run.run.first()["metrics"]["silhouette_method"] == "squared"
 
 
+def test_failed_write_leaves_the_former_run(spark, tmp_path, ingested):
+    _, filled, _, _ = ingested
+    rows = filled.read("transactions")
+    store = LedgerStore(spark, str(tmp_path / "store"))
+    assert store.features().count() == 0
+    first = recluster(rows, QUICK, run_id="a", created_at=datetime(2024, 7, 1))
+    store.write_run(first.run, first.clusters, first.assignments, first.insights, first.features)
+    before = sorted(map(tuple, store.features().collect()))
+    later = first.run.withColumns({"id": F.lit("b"), "created_at": F.lit(datetime(2024, 8, 1))})
+    broken = first.insights.withColumns({"run_id": F.lit("b"), "body": F.expr("raise_error('lost')").cast("string")})
+    parts = [df.withColumn("run_id", F.lit("b")) for df in (first.clusters, first.assignments)]
+    half = first.features.limit(3)
+    with pytest.raises(Exception, match="lost"):
+        store.write_run(later, *parts, broken, half)
+    assert sorted(map(tuple, store.features().collect())) == before
+    store.write_run(later, *parts, first.insights.withColumn("run_id", F.lit("b")), half)
+    assert store.features().count() == 3 and store.features("a").count() == len(before)
+
+
 def test_recluster_store_and_reads(spark, ingested):
     _, store, _, _ = ingested
     result = recluster_store(store, QUICK, run_id="run-1", created_at=datetime(2024, 7, 1))
     assert 2 <= result["k"] <= 4 and 0.3 < result["silhouette"] <= 1 and 0 < result["mean_ari"] <= 1
     spend = store.read("transactions").filter("txn_kind = 'spend'")
-    assert result["n_transactions"] == spend.count() == store.read("features").count()
+    assert result["n_transactions"] == spend.count() == store.features().count()
     assert result["n_anomalies"] >= 1
     parts = [store.read(t) for t in ("runs", "transactions", "assignments", "clusters")]
     series = reads.spend_over_time(*parts)
