@@ -283,3 +283,31 @@ def test_starts_are_drawn_from_all_vectors(spark):
     assert all((x.centers == y.centers).all() for x, y in zip(starts, again))
     first = [tuple(s.centers[0]) for s in kmeans.draw_starts(df, ["a", "b"], [(1, "w", s) for s in range(40)])]
     assert first.count((0.5, 0.5)) > 25
+
+
+def test_moments_of_boxes(spark):
+    """Sums and costs of whole boxes are those of single vectors, of any weight and tie."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(700, 3)), np.zeros((90, 3)), rng.integers(0, 3, (211, 3)) / 2])
+    w = rng.integers(0, 4, len(x)).astype(float)
+    near = kmeans.near_together(frame(spark, x, w=[float(v) for v in w]), COLS)
+    assert sorted(map(tuple, near.select(*COLS).collect())) == sorted(map(tuple, x))
+    centers = np.concatenate([rng.normal(size=(4, 6, 3)), rng.integers(0, 3, (4, 2, 3)) / 2.0], axis=1)
+    rows = near.toPandas()
+    got = kmeans._box_moments(rows[COLS].to_numpy(float), rows["w"].to_numpy(float), centers, True)
+    for s in range(8):
+        far = ((x[:, None, :] - centers[None, :, s]) ** 2).sum(axis=2)
+        for c in range(4):
+            mine = w * (far.argmin(axis=1) == c)
+            want = [mine.sum(), mine @ far[:, c], *(mine @ x)]
+            np.testing.assert_allclose(got[c, s], want, atol=1e-9)
+
+
+def test_most_vectors_move_in_boxes(spark, monkeypatch):
+    """Of a crowd only the vectors of boxes between centers are compared one by one."""
+    x = np.random.default_rng(5).normal(size=(20_000, 2))
+    rows = kmeans.near_together(frame(spark, x), COLS[:2]).toPandas()[COLS[:2]].to_numpy(float)
+    compared, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a: compared.append(len(a[0])) or count(*a))
+    kmeans._box_moments(rows, np.ones(len(rows)), np.array([[[-1.0, 0.0]], [[1.0, 0.0]]]), False)
+    assert sum(compared) / 4 < len(x) / 3
