@@ -101,3 +101,19 @@ def test_same_instant_ties_go_by_id(spark):
 def test_profile_counts_rows(ledger):
     profile = {r["counterparty_normalized"]: r for r in ops.merchant_profile(ledger({"P": [0, 7, 14], "Q": [1]})).collect()}
     assert profile["P"]["n_transactions"] == 3 and profile["Q"]["amount_stability"] == 1.0
+
+
+def test_rows_are_read_once(spark, ledger):
+    """What makes the rows, like a name's scrubbing, is not done again for the join back."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    n = ledger.count()
+    for derive in (ops.build_features, ops.recency):
+        seen.value = 0
+        derive(ledger.mapInPandas(touch, ledger.schema)).write.format("noop").mode("overwrite").save()
+        assert seen.value == n
