@@ -136,3 +136,21 @@ def test_no_names(spark):
     assert canonical_names(spark.createDataFrame([], "name string, n long")).count() == 0
     with pytest.raises(ValueError):
         canonical_names(spark.createDataFrame([("A", 1)], "name string, n long"), 50)
+
+
+@pytest.mark.parametrize("at_once", [50_000, 7])
+def test_chains_of_names_take_few_steps(spark, monkeypatch, at_once):
+    rng = random.Random(11)
+    chain = [(i, i + 1) for i in range(60)]
+    edges = chain + [(a, b) for a in range(60) for b in range(a + 2, 60) if rng.random() < 0.02]
+    taken = set()
+    for a, b in sorted(edges, key=lambda e: e[1]):
+        if a not in taken:
+            taken.add(b)
+    stored = []
+    monkeypatch.setattr(merchants, "LOCAL_PAIRS", at_once)
+    monkeypatch.setattr(merchants, "durable", lambda df, keep=merchants.durable: stored.append(1) or keep(df))
+    members = merchants.batch_members(spark.createDataFrame(edges, "l_rank bigint, r_rank bigint"))
+    assert sorted(r[0] for r in members.collect()) == sorted(taken)
+    assert len(stored) <= 3 * -(-len(edges) // at_once)
+    assert merchants.batch_members(spark.createDataFrame([], "l_rank bigint, r_rank bigint")) is None
