@@ -134,3 +134,22 @@ def test_clean_is_independent_of_order_and_partitions(spark):
 
 def test_empty(spark):
     assert clean_ledger(ledger(spark, [])).count() == 0
+
+
+def test_rows_are_spread_before_they_are_sorted(spark):
+    """One split may unfold to very many rows: none sorts them all for its first or smallest."""
+    rows = spark.createDataFrame(
+        [("f", 0, i, datetime(2024, 1, 1, i % 24), Decimal(5), "credit" if i % 3 else "debit", f"n{i % 5}", None)
+         for i in range(60)],
+        "source_file string, part_no bigint, row_no bigint, txn_date timestamp, amount decimal(14,2), "
+        "direction string, counterparty_raw string, reference_id string")
+
+    def under_last(df, step):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan[plan.rindex(step):]
+
+    first = ops.first_of_each(ops.add_keys(rows))
+    assert "REPARTITION_BY_COL" in under_last(first, "WindowGroupLimit")
+    tagged = tag_offsets(rows).where("is_offset")
+    assert "REPARTITION_BY_COL" in under_last(tagged, "SortAggregate")
+    assert first.count() == rows.selectExpr("date(txn_date)", "direction", "counterparty_raw").distinct().count()
