@@ -192,6 +192,23 @@ def test_lines_against_all_pairs(make_docs, messy, monkeypatch, limits):
     assert drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_pairs_in_a_crowded_block(make_docs, monkeypatch):
+    """Lines that share one block only, the one that very many other lines share too."""
+    monkeypatch.setattr("spendspark.llm.line_dedup.PIECE", 16)
+    rng = random.Random(3)
+    line = lambda: ["please", "note", "that", *["".join(rng.choices("abcdefgh", k=5)) for _ in range(25)]]
+    rows = [(i, " ".join(line())) for i in range(60)]
+    for i in range(5):
+        near = rows[10 * i][1].split(" ")
+        for at in range(4, 28, 3):  # a letter in each of the other blocks, from either end
+            near[at] = "z" + near[at][1:]
+        for at in range(27 - 1, 12, -3):
+            near[at] = "z" + near[at][1:]
+        rows.append((100 + i, " ".join(near)))
+    out = drop_repeated_lines(make_docs(rows)).collect()
+    assert {r["doc_id"] for r in out if r["removed_lines"]} == {100 + i for i in range(5)}
+
+
 def test_copies_keep_their_lines(make_docs):
     rng = random.Random(9)
     line = lambda: " ".join(f"q{rng.randint(0, 10 ** 6)}" for _ in range(12))
