@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from spendspark.llm import line_dedup
 from spendspark.llm.components import connected
 from spendspark.llm.language import (
     Field, Settings, detect_languages, fit_field, learn_languages, posteriors)
@@ -256,6 +257,32 @@ def test_edits_move_the_blocks_of_their_stretch(spark):
     assert not got[0] & got[10] and len(got[11]) == 26
 
 
+def test_lines_alone_in_their_blocks_are_not_kept(spark, make_docs, monkeypatch):
+    """Keys that one line has are read once and never stored; hot keys give the same blocks."""
+    rng = random.Random(9)
+    lines = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(12)) for _ in range(40)]
+    lines += [f"{lines[0]} {c}" for c in "abcdef"]
+    docs = make_docs(enumerate(lines))
+    rows = []
+
+    def counted(df, name):
+        table = stored(df, name)
+        rows.append((name, table.count()))
+        return table
+
+    stored = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    assert drop_repeated_lines(docs).where("size(removed_lines) > 0").count() == 6
+    rows = dict(reversed(rows))
+    assert "line-keys" not in rows and 0 < rows["line-blocks"] <= 7 * 12
+    keys = block_keys(line_texts(line_rows(docs), 1).select("sid", "norm"))
+    hot = keys.groupBy("key").count().where("count > 2").select("key")
+    blocks = [sorted(map(tuple, line_dedup.line_blocks(keys, h).collect())) for h in (None, hot)]
+    assert blocks[0] == blocks[1] and len(blocks[0]) == rows["line-blocks"]
+    sizes = {k: n for k, n in keys.groupBy("key").count().collect()}
+    assert all(b[4] <= sizes[b[0]] and b[7] <= sizes[b[0]] and max(b[4], b[7]) > 1 for b in blocks[0])
+
+
 def test_line_recall_over_spread_edits(spark, make_docs):
     """Lines with letters changed all over, found by plain edit similarity: 95 % or more of them."""
     rng = random.Random(4)
