@@ -68,6 +68,41 @@ def test_silhouettes_exact(spark, monkeypatch, block):
     assert got[0]["n_points"] == len(x)
 
 
+def test_silhouette_tiles(spark, monkeypatch):
+    """A point is copied to tiles, not to blocks, and a pair of tiles is compared once."""
+    x, y = blobs(3)
+    monkeypatch.setattr(silhouette, "BLOCK", 16)
+    monkeypatch.setattr(silhouette, "TILE", 40)
+    monkeypatch.setattr(silhouette, "TILES", 3)
+    met = spark.sparkContext.accumulator(0)
+    distances = silhouette._distance_function()
+
+    def counted(a, b):
+        met.add(len(a) * len(b))
+        return distances(a, b)
+
+    monkeypatch.setattr(silhouette, "_distance_function", lambda: counted)
+    got = silhouette.silhouettes(frame(spark, x, y=y.tolist()), COLS, ["y"])[0]
+    assert got["silhouette"] == pytest.approx(brute_silhouette(x, y).mean())
+    assert met.value < 0.8 * len(x) ** 2
+
+
+def test_distances_of_near_points():
+    """Tiny distances far from the origin, equal points and values without a number stay as they are."""
+    distances = silhouette._distance_function()
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (60, 5))
+    x[20:40] = x[:20] + 1e-10 * rng.normal(0, 1, (20, 5))
+    x[40:50] = x[:10]
+    x += 100.0
+    with np.errstate(all="ignore"):
+        want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        np.testing.assert_allclose(distances(x, x), want, rtol=1e-7, atol=0)
+        x[3, 1], x[7, 2] = np.nan, np.inf
+        want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        np.testing.assert_allclose(distances(x, x), want, rtol=1e-7, atol=0)
+
+
 def test_squared_silhouette(spark):
     """Linear form against all distances, with equal rows, a cluster of one, and one cluster."""
     x, y = blobs(2, 120)
