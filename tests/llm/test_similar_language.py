@@ -283,6 +283,38 @@ def test_lines_alone_in_their_blocks_are_not_kept(spark, make_docs, monkeypatch)
     assert all(b[4] <= sizes[b[0]] and b[7] <= sizes[b[0]] and max(b[4], b[7]) > 1 for b in blocks[0])
 
 
+def test_tables_and_shuffles_go_when_nothing_reads_them(spark, make_docs, monkeypatch):
+    """Of lines, keys and pairs nothing stays but the answer; a write's shuffles go with it."""
+    from pathlib import Path
+    from time import sleep
+
+    rng = random.Random(12)
+    lines = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(12)) for _ in range(30)]
+    lines += [f"{lines[0]} {c}" for c in "abcdef"] + lines[:3]
+    kept = []
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in map(str, files.getAllFiles().mkString("\n").split("\n")) if "/shuffle_" in f}
+    before = shuffles()
+
+    def noted(df, name):
+        table = stored(df, name)
+        kept.append((name, Path(table.stored_path.removeprefix("file:"))))
+        return table
+
+    stored = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    out = drop_repeated_lines(make_docs(enumerate(lines)))
+    for _ in range(50):  # they are deleted a moment later
+        if not shuffles() - before:
+            break
+        sleep(0.1)
+    assert not shuffles() - before
+    assert out.where("size(removed_lines) > 0").count() == 9
+    left = {name for name, path in kept if path.exists()}
+    assert len(kept) > 10 and left <= {"line-links", "line-removed"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_line_recall_over_spread_edits(spark, make_docs):
     """Lines with letters changed all over, found by plain edit similarity: 95 % or more of them."""
     rng = random.Random(4)
