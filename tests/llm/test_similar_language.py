@@ -291,25 +291,26 @@ def test_tables_and_shuffles_go_when_nothing_reads_them(spark, make_docs, monkey
     rng = random.Random(12)
     lines = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(12)) for _ in range(30)]
     lines += [f"{lines[0]} {c}" for c in "abcdef"] + lines[:3]
-    kept = []
+    kept, late = [], []
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffles = lambda: {f for f in map(str, files.getAllFiles().mkString("\n").split("\n")) if "/shuffle_" in f}
-    before = shuffles()
 
     def noted(df, name):
+        before = shuffles()
         table = stored(df, name)
+        for _ in range(30):  # they are deleted a moment later
+            if not shuffles() - before:
+                break
+            sleep(0.1)
+        else:
+            late.append(name)
         kept.append((name, Path(table.stored_path.removeprefix("file:"))))
         return table
 
     stored = line_dedup.stored
     monkeypatch.setattr(line_dedup, "stored", noted)
-    out = drop_repeated_lines(make_docs(enumerate(lines)))
-    for _ in range(50):  # they are deleted a moment later
-        if not shuffles() - before:
-            break
-        sleep(0.1)
-    assert not shuffles() - before
-    assert out.where("size(removed_lines) > 0").count() == 9
+    assert drop_repeated_lines(make_docs(enumerate(lines))).where("size(removed_lines) > 0").count() == 9
+    assert late == []
     left = {name for name, path in kept if path.exists()}
     assert len(kept) > 10 and left <= {"line-links", "line-removed"}
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

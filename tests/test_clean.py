@@ -153,3 +153,29 @@ def test_rows_are_spread_before_they_are_sorted(spark):
     tagged = tag_offsets(rows).where("is_offset")
     assert "REPARTITION_BY_COL" in under_last(tagged, "SortAggregate")
     assert first.count() == rows.selectExpr("date(txn_date)", "direction", "counterparty_raw").distinct().count()
+
+
+def test_rows_are_dealt_out_once_by_the_join(spark):
+    """The cleaned rows are not spread again after the join; only credits are sorted by their keys."""
+    start = datetime(2024, 1, 1)
+    rows = ledger(spark, [
+        (start + timedelta(hours=i), "5.00", "credit" if i % 3 else "debit", f"n{i % 5}", None) for i in range(40)])
+    df = clean_ledger(rows, fuzzy_threshold=None)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" not in plan[:plan.index("SortMergeJoin")] and "LeftOuter" in plan
+    debits = plan[plan.rindex("REPARTITION_BY_COL"):]
+    assert "HashAggregate" in debits and "SortAggregate" not in debits
+    assert df.count() == rows.selectExpr("date(txn_date)", "direction", "counterparty_raw").distinct().count()
+
+
+def test_offsets_of_rows_without_date_amount_or_direction(spark):
+    start = datetime(2024, 1, 1)
+    rows = ledger(spark, [(start, "5.00", "debit", "a", None), (start, "5.00", "credit", "b", None),
+                          (start, "5.00", "credit", "c", None), (start, "5.00", "debit", "d", None),
+                          (start, "6.00", None, "e", None), (start, "6.00", "other", "f", None),
+                          (start, "6.00", "credit", "g", None)])
+    bare = rows.withColumn("txn_date", F.lit(None).cast("timestamp")).unionByName(
+        rows.withColumn("amount", F.lit(None).cast("decimal(14,2)"))).withColumn("row_no", F.col("row_no") + 100)
+    got = tag_offsets(rows.unionByName(bare.withColumn("row_no", F.monotonically_increasing_id() + 100)))
+    assert got.count() == 21
+    assert sorted(r["row_no"] for r in got.where("is_offset").collect()) == [0, 1, 3]

@@ -53,6 +53,30 @@ def test_scrub_goldens(spark):
     assert kept == ["NETFLIX"]
 
 
+def test_plain_names_scrub_like_any(spark):
+    """A name of ASCII characters takes the plainer patterns; with a noise word it takes all."""
+    rng = random.Random(8)
+    parts = ["Paid to", "money sent to ", "TO", "from", " ", "  ", "\t", "\n", "\x0b", "\x1c", "-", "_", "&", ".", "***",
+             "12345", "007", "2024", "Kiosk", "a", "Z9", "order", "reference", "UPI", "pvt", "'", "Shop", "é", "ı", "ſ"]
+    strings = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(3000)]
+
+    def walk(s):
+        space = "[ \t\n\x0b\f\r]"
+        phrases, noise = (text.any_word(x) for x in (text.fv.TXN_PHRASES, text.fv.NOISE_WORDS))
+        n = re.sub(rf"^{space}*{phrases}{space}+", "", s, flags=re.I)
+        n = re.sub(rf"(?:{space}|[-_])*\d{{4,}}(?=\n?\Z)", "", n)
+        n = re.sub(rf"(?<![a-z0-9_]){noise}(?![a-z0-9_])", "", n, flags=re.I)
+        n = re.sub(rf"{space}+", " ", re.sub(r"[^A-Za-z0-9_& \t\n\x0b\f\r]", " ", n)).strip(" ").upper()
+        return n or "UNKNOWN"
+
+    ascii_only = [s for s in strings if s.isascii()]
+    assert len(ascii_only) > 1500
+    assert values(spark, ascii_only, text.scrub_merchant) == [walk(s) for s in ascii_only]
+    # a blank of another script in front keeps every pattern of the longer way
+    longer = values(spark, ["\u3000" + s for s in ascii_only], text.scrub_merchant)
+    assert longer == values(spark, [" " + s for s in ascii_only], text.scrub_merchant)
+
+
 def test_hash_reference(spark):
     got = values(spark, ["UTR1", "", None], text.hash_reference)
     assert got == [hashlib.sha256(b"UTR1").hexdigest()[:16], None, None]

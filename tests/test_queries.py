@@ -31,3 +31,12 @@ def test_entry(spark):
     out = entry_point.entry(spark)
     assert isinstance(out, DataFrame) and out.columns == ["month", "cluster_index", "label", "total"]
     assert out.count() > 0
+
+
+def test_robust_z_stores_what_it_reads(spark, monkeypatch):
+    from checks import queries
+
+    stored = []
+    monkeypatch.setattr(queries, "durable", lambda df: stored.append(df.columns) or df)
+    assert entry_point.queries()["robust_z"](spark, SF).count() > 0
+    assert stored == [["id", "counterparty_normalized", "amount"]]
