@@ -210,6 +210,55 @@ def test_pairs_in_a_crowded_block(make_docs, monkeypatch):
     assert {r["doc_id"] for r in out if r["removed_lines"]} == {100 + i for i in range(5)}
 
 
+def test_unlike_lines_of_a_crowded_block_form_no_pairs(spark, make_docs, monkeypatch):
+    """Lines of one block whose letters are too far apart are no pairs for the disk, similar ones
+    stay, and pairs are compared in parts."""
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choices(letters, k=5))
+    sets = ["aeiouts", "bcdfghj", "klmnpqr", "vwxyzst", "rstlnea"]
+    rows = [(i, " ".join(["please", "note", "that", *[word(sets[i % 5]) for _ in range(17)]])) for i in range(60)]
+    rows += [(100 + i, rows[i][1][:-1] + "q") for i in range(5)]
+    tables = []
+
+    def noted(df, name):
+        table = stored(df, name)
+        tables.append((name, table.count()))
+        return table
+
+    stored = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    monkeypatch.setattr(line_dedup, "PAIRS_AT_ONCE", 100)
+    out = drop_repeated_lines(make_docs(rows)).collect()
+    assert {r["doc_id"] for r in out if r["removed_lines"]} == {100 + i for i in range(5)}
+    pairs = [n for name, n in tables if name == "line-pairs"]
+    assert len(pairs) == 2 and sum(pairs) < 400  # of 2,080
+    assert len([n for name, n in tables if name == "line-links"]) > 2
+
+
+@pytest.mark.parametrize("similar", [0.9, 0.8])
+def test_letters_never_part_similar_lines(spark, similar):
+    """Differences of letters are a lower bound of the edits, in long lines and beyond the most that is counted."""
+    rng = random.Random(8)
+    rows = []
+    for n in [20, 30, 60, 200, 900, 3000]:
+        for i in range(12):
+            x = [rng.choice("etaoin srhldé9zx"[: 2 + i] if i % 2 else "etaoinsrhldé9zxö ") for _ in range(n)]
+            y = list(x)
+            for _ in range(int(n * (1 - similar))):
+                y[rng.randrange(len(y))] = rng.choice(["", "e", "t", "q ", "zz", "é"])
+            for line in (x, y):
+                rows.append((len(rows), "a" + "".join(line) + "a"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines, groups = line_dedup.line_tables(docs, 1)
+    counts = line_dedup.letter_counts(lines, groups, lines)
+    a, b = (lines.where(F.col("doc_id") % 2 == i).select(
+        F.floor(F.col("doc_id") / 2).alias("i"), F.col("sid").alias(c), F.col("norm").alias(f"{c}_norm")) for i, c in enumerate("ab"))
+    room = line_dedup.edit_room(F.greatest(F.length("a_norm"), F.length("b_norm")), similar)
+    pairs = a.join(b, "i").where("a <> b").where(F.levenshtein("a_norm", "b_norm") <= room)
+    both = pairs.join(line_dedup._letters(counts, "a"), "a").join(line_dedup._letters(counts, "b"), "b")
+    assert both.count() > 30 and both.where(~line_dedup._near_in_letters("a", "b", similar)).count() == 0
+
+
 def test_copies_keep_their_lines(make_docs):
     rng = random.Random(9)
     line = lambda: " ".join(f"q{rng.randint(0, 10 ** 6)}" for _ in range(12))
