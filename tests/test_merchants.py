@@ -154,3 +154,17 @@ def test_chains_of_names_take_few_steps(spark, monkeypatch, at_once):
     assert sorted(r[0] for r in members.collect()) == sorted(taken)
     assert len(stored) <= 3 * -(-len(edges) // at_once)
     assert merchants.batch_members(spark.createDataFrame([], "l_rank bigint, r_rank bigint")) is None
+
+
+def test_many_steps_make_no_plan_longer(spark, monkeypatch):
+    """However many steps and batches settle names, what comes back reads one table of them."""
+    edges = [(a, a + d) for a in range(0, 400, 4) for d in (1, 2, 3)]
+    monkeypatch.setattr(merchants, "LOCAL_PAIRS", 30)
+    members = merchants.batch_members(spark.createDataFrame(edges, "l_rank bigint, r_rank bigint"))
+    assert sorted(r[0] for r in members.collect()) == sorted({b for _, b in edges})
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(members) == 1
+    names = random_names(6, 60)
+    got = canonical_names(spark.createDataFrame(names, "name string, n long"), 88, batch_rows=10)
+    assert {r["name"]: r["canonical"] for r in got.collect()} == greedy(names)
+    assert scans(got) == 3
