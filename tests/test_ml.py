@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 from datetime import datetime, timedelta
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -346,3 +347,24 @@ def test_most_vectors_move_in_boxes(spark, monkeypatch):
     monkeypatch.setattr(np, "bincount", lambda *a: compared.append(len(a[0])) or count(*a))
     kmeans._box_moments(rows, np.ones(len(rows)), np.array([[[-1.0, 0.0]], [[1.0, 0.0]]]), False)
     assert sum(compared) / 4 < len(x) / 3
+
+
+def test_tables_of_fits_go_when_nothing_reads_them(spark, monkeypatch):
+    """Vectors and labelings are deleted once their fit, score or stability is known."""
+    kept, durable = [], kmeans.durable
+
+    def noted(df):
+        table = durable(df)
+        kept.append(Path(table.stored_path.removeprefix("file:")))
+        assert kept[-1].exists()
+        return table
+
+    for module in (kmeans, silhouette, stability):
+        monkeypatch.setattr(module, "durable", noted)
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.2, (20, 2)) for c in (0, 5)])
+    rows = frame(spark, x)
+    fit, _ = kmeans.sweep_k(rows, COLS[:2], 2, 3, n_init=2, method="squared")
+    assert fit.k == 2
+    assert stability.stability(rows, COLS[:2], fit, seeds=2, n_init=2) == [1.0, 1.0]
+    assert len(kept) == 5 and not any(path.exists() for path in kept)
